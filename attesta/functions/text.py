@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,12 +82,14 @@ def fold_lower_first(text: Column) -> Column:
     return unaccent(F.lower(text))
 
 
-@F.pandas_udf("string")
-def nfd_fold(s):  # noqa: ANN001, ANN201  pandas series in and out
-    """Full decomposition for any script: canonical decomposition, marks removed, lower case."""
-    import unicodedata as u
+def nfd_fold(text: Column) -> Column:
+    """Full decomposition for any script, in Arrow batches: canonical decomposition, marks removed, lower case."""
 
-    return s.map(lambda t: None if t is None else "".join(c for c in u.normalize("NFD", t) if u.category(c) != "Mn").lower())
+    def run(s: pd.Series) -> pd.Series:
+        plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower()
+        return s.map(plain, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def tokens(text: Column, stop: tuple[str, ...] = STOP_PRODUCTION, least: int = 1, folded: Column | None = None) -> Column:
