@@ -3,9 +3,10 @@
 One pass over the texts writes a keyed table (identifier, size, digest of the normalised text, content
 locator), which then streams in as files. For each digest (all characters of ``[\\x20\\x09-\\x0D]`` deleted) a state that never expires keeps the size of the group and the row that stays:
 most code points in the original text, then the smallest identifier, together with a content locator
-(file and row number). The state lives in RocksDB and its checkpoint in the shared folder, so
-a restarted or moved task goes on where it was. ``availableNow`` reads all that is there
-in bounded micro-batches.
+(file and row number). The state lives in files of the shared folder, beside the stream's
+progress, so a restarted or moved task goes on where it was. ``availableNow`` reads all that is there
+in bounded micro-batches. (Spark's RocksDB store would do the same; it sets aside 4 MB of local disk for
+every state partition, whatever the data.)
 
 Digests that more than one row carries are then checked byte for byte: each such row's normalised text is
 compared with that of the row that would stay. Rows that differ (a digest collision) form groups
@@ -53,40 +54,34 @@ def keyed(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).alias("size"), digest(normalised(F.col("text"))).alias("digest"), where.alias("locator"))
 
 
+def _merged(rows: DataFrame, count: Column) -> DataFrame:
+    """Rows with ``digest`` and the struct ``best`` as one row a digest."""
+    return rows.groupBy("digest").agg(F.max("best").alias("best"), F.sum(count).alias("group_size"))
+
+
 def stream_state(spark: SparkSession, keys_path: str, at: str) -> DataFrame:
-    """Stream the keyed table through the state; return every key's newest value (columns of ``STATE``)."""
-    settings = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    batches: list[int] = []
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
-        batches.append(number)
-
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        source = spark.readStream.schema("doc_id long, size int, digest string, locator string").option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(keys_path)
-        best = F.max(F.struct("size", (-F.col("doc_id")).alias("minus_id"), "locator"))
-        state = source.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
-        result = state.select("digest", "group_size", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.size").alias("keep_size"), F.col("best.locator").alias("locator"))
-        result.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-    if not batches:
+    """Stream the keyed table into the state; return every key's value (columns of ``STATE``).
+
+    The state is a table of layers in the shared folder: each micro-batch adds the layer of its own keys,
+    summed up, under its batch number (a replayed batch overwrites its layer), and nothing expires. Values of a key merge by
+    maximum and sum, in any order, so a key's value is read by merging its entries; no task holds the state in memory.
+    """
+    layers: list[str] = []
+
+    def add_layer(batch: DataFrame, number: int) -> None:
+        path = f"{at}/layers/batch={number}"
+        own = F.struct("size", (-F.col("doc_id")).alias("minus_id"), "locator")
+        _merged(batch.select("digest", own.alias("best")), F.lit(1)).write.mode("overwrite").parquet(path)
+        layers.append(path)
+
+    source = spark.readStream.schema("doc_id long, size int, digest string, locator string").option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(keys_path)
+    source.writeStream.option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(add_layer).start().awaitTermination()
+    if not layers:
         return spark.createDataFrame([], STATE)
-    if len(batches) == 1:
-        return spark.read.schema(STATE).parquet(f"{at}/out/batch={batches[0]}")
-    newest = F.max_by(F.struct("group_size", "keep_id", "keep_size", "locator"), "batch")
-    return spark.read.parquet(f"{at}/out").groupBy("digest").agg(newest.alias("v")).select("digest", "v.*")
+    state = spark.read.parquet(*layers)
+    if len(layers) > 1:
+        state = _merged(state, F.col("group_size"))
+    return state.select("digest", "group_size", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.size").alias("keep_size"), F.col("best.locator").alias("locator"))
 
 
 def differing(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
