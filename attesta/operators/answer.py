@@ -80,7 +80,7 @@ def public(columns: list[str]) -> Column:
 
 
 # Error codes and their HTTP status.
-ERRORS = {"question_vide": 400, "question_trop_longue": 413, "requete_invalide": 422, "trop_de_requetes": 429, "cle_absente": 503, "chargement": 503, "quota": 503, "service_indisponible": 502}
+ERRORS = {"question_vide": 400, "question_trop_longue": 413, "corps_illisible": 422, "trop_de_requetes": 429, "chargement_en_cours": 503, "index_absent": 503, "modele_absent": 503, "redaction_en_panne": 503}
 LONGEST_QUESTION = 500
 
 

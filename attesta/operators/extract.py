@@ -76,7 +76,7 @@ def paragraphs(lines: DataFrame, article: str = "article") -> DataFrame:
     numbered = body.withColumn("open", flag.cast("int")).withColumn("paragraph", F.sum("open").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s.text)
     joined = F.aggregate(parts, F.lit(""), lambda a, t: F.when(a == "", t).when(a.endswith("-"), F.concat(a, t)).otherwise(F.concat(a, F.lit(" "), t)))
-    return numbered.groupBy("doc", article, "paragraph").agg(joined.alias("text"))
+    return numbered.groupBy("doc", article, "paragraph").agg(joined.alias("text"), F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_letters"))
 
 
 def hierarchy(lines: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:

@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_KEPT: dict = {}
+
+
+def once(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """``build()`` persisted for the session: arms of a ranking are read by many plans, and hold at most depth rows a question."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    kept = _KEPT[key]
+    return kept if kept.is_cached else kept.persist()
+
+
 def bags(spark: SparkSession, sf_dir: str, tokenizer=T.tokens, title_weight: int = 2) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return docs.select("doc_id", weighted_tokens(tokenizer(F.col("text")), tokenizer(F.col("source")) if title_weight else None, title_weight).alias("toks"))
@@ -28,6 +40,10 @@ def questions(spark: SparkSession, sf_dir: str, tokenizer=T.tokens) -> DataFrame
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("expected", sf_dir), lambda: _expected(spark, sf_dir))
+
+
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id``, ``doc_id`` of the documents that contain a question (a semi-join on its rarest shape would be needed for many questions; here they are few and checked)."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     if q.count() > 10_000:

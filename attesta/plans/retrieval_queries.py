@@ -83,10 +83,14 @@ DEPTH = 50
 
 
 def lexical_arm(spark, d, depth=DEPTH):
-    return L.top(L.bm25(I.bags(spark, d), I.questions(spark, d)), depth)
+    return I.once(spark, ("lexical", d, depth), lambda: L.top(L.bm25(I.bags(spark, d), I.questions(spark, d)), depth))
 
 
 def dense_arm(spark, d, depth=DEPTH):
+    return I.once(spark, ("dense", d, depth), lambda: _dense_arm(spark, d, depth))
+
+
+def _dense_arm(spark, d, depth):
     """Without an embedding model the idf floor stands in for the dense arm, scaled into [0, 1] as cosines are."""
     from attesta.functions import text as T
 
@@ -182,7 +186,7 @@ cov as (with {S.bags()}, {S.questions()}, p as (select query_id, count(*) as n_t
 def signals(spark, d):
     q = I.questions(spark, d)
     lex, den = lexical_arm(spark, d), dense_arm(spark, d)
-    return G.of_dense(q, den).join(G.agreement(q, den, lex), "query_id").join(L.coverage(I.bags(spark, d), q).select("query_id", "coverage", "unknown"), "query_id")
+    return G.of_dense(q, den).join(G.agreement(q, den, lex), "query_id").join(I.once(spark, ("coverage", d), lambda: L.coverage(I.bags(spark, d), q).select("query_id", "coverage", "unknown")), "query_id")
 
 
 @query(f"with {_arms()}, {_SIGNALS} select query_id, round(proximity, 6) as proximity, round(margin, 6) as margin, round(gap, 6) as gap, round(mass3, 6) as mass3, round(mass5, 6) as mass5, agree, round(agree / 5.0::double, 6) as agreement, coverage, -cast(len(unknown) as int) as minus_unknown from sig join agr using (query_id) join cov using (query_id)")
