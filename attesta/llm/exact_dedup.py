@@ -112,19 +112,20 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     odd = stored(spark, differing(docs, state, digest), "dedup-differing")
     out = keys.drop("locator").join(state, "digest")
     if odd.isEmpty():
-        return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest", "locator")
+        return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "locator")
     own = odd.groupBy("digest", "norm").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("minus_id"))).alias("best"), F.count("*").alias("n"))
     moved = odd.join(own, ["digest", "norm"]).select("doc_id", "digest", (-F.col("best.minus_id")).alias("new_keep"), F.col("n").alias("new_size"))
     less = odd.groupBy("digest").agg(F.count("*").alias("gone"))
     out = out.join(moved.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"], "left").join(less, "digest", "left")
     keep = F.coalesce("new_keep", "keep_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce(F.col("new_size"), F.col("group_size") - F.coalesce("gone", F.lit(0))).alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "digest", F.when(F.col("new_keep").isNull(), F.col("locator")).alias("locator"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce(F.col("new_size"), F.col("group_size") - F.coalesce("gone", F.lit(0))).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "digest", F.when(F.col("new_keep").isNull(), F.col("locator")).alias("locator"))
 
 
 def unique(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, columns as they were."""
-    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (sha256(normalised(docs["text"])) == kept["__digest"])
+    return docs.join(kept, same, "left_semi")
 
 
 def sql() -> str:

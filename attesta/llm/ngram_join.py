@@ -351,7 +351,7 @@ def components(docs: DataFrame) -> DataFrame:
     if not pairs.isEmpty():
         comp = connect(spark, links.unionByName(verify(docs, pairs, parts)))
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "print").join(classes, "print", "left").join(comp.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
