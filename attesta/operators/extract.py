@@ -191,3 +191,27 @@ def headed_chunks(text: Column, header: Column, limit: int = 600) -> Column:
 def without_header(passage: Column, header: Column) -> Column:
     """The passage without its exact header, for ablations."""
     return F.when(F.startswith(passage, header), F.substr(passage, F.length(header) + 1)).otherwise(passage)
+
+
+def footnotes(lines: DataFrame) -> DataFrame:
+    """``doc``, ``note``, ``text`` from footnote lines (``doc``, ``n``, ``text``): a line opens a note only if its number is the next one; any other line continues the open note.
+
+    Sequential within a document, so the document's lines are folded in order.
+    """
+    start = r"^(\d{1,3})\s*[-–—]?\s+(.*)$"
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s.text)
+    zero = F.struct(F.array().cast("array<struct<note:int,text:string>>").alias("done"), F.lit(0).alias("note"), F.lit("").alias("text"))
+
+    def step(s: Column, t: Column) -> Column:
+        number = F.regexp_extract(t, start, 1)
+        opens_ = (number != "") & (number.try_cast("int") == s.note + 1)
+        closed = F.when(s.note > 0, F.concat(s.done, F.array(F.struct(s.note.alias("note"), s.text.alias("text"))))).otherwise(s.done)
+        return F.struct(
+            F.when(opens_, closed).otherwise(s.done).alias("done"),
+            F.when(opens_, s.note + 1).otherwise(s.note).alias("note"),
+            F.when(opens_, F.regexp_extract(t, start, 2)).when(s.note > 0, F.concat(s.text, F.lit(" "), t)).otherwise(s.text).alias("text"),
+        )
+
+    end = lambda s: F.when(s.note > 0, F.concat(s.done, F.array(F.struct(s.note.alias("note"), s.text.alias("text"))))).otherwise(s.done)
+    folded = lines.groupBy("doc").agg(F.aggregate(ordered, zero, step, end).alias("notes"))
+    return folded.select("doc", F.explode("notes").alias("x")).select("doc", "x.note", "x.text")

@@ -133,3 +133,14 @@ def idf_overlap(bags: DataFrame, queries: DataFrame, digits: int = 6) -> DataFra
     idf = document_frequency(tf).select("term", idf_classic(statistics(bags).select("n").scalar(), F.col("df")).alias("idf"))
     pairs = tf.join(idf, "term").select("doc_id", "term", "idf").join(small(q), "term")
     return pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum("idf"), digits).alias("score")).where("score > 0")
+
+
+def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Query tokens with the synonyms of their words appended, never removed (``synonyms``: ``term``, ``more`` array)."""
+    extra = queries.select("query_id", F.explode(F.array_distinct("toks")).alias("term")).join(small(synonyms), "term").groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("more"))).alias("more"))
+    return queries.join(extra, "query_id", "left").select("query_id", F.concat("toks", F.coalesce("more", F.array().cast("array<string>"))).alias("toks"))
+
+
+def mute(queries: DataFrame) -> DataFrame:
+    """The retriever that returns nothing, in the form of a ranking."""
+    return queries.where("false").select("query_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
