@@ -13,9 +13,10 @@ empty and links with nothing. Two documents link when 100 * |A and B| >= 80 * |A
    give components. A group of near copies thus costs one comparison a copy.
 4. Blocks that still hold several components are searched by an R-tree over group-count vectors
    (``GROUPS`` coordinates, hashing elements): a node's upper corner bounds the overlap by the sum of
-   coordinate minima; nodes and points that cannot reach the overlap a link needs are pruned, as are
-   pairs of one component. Large blocks are dealt out as pairs of tiles. Surviving pairs are verified on
-   the sets themselves.
+   coordinate minima; nodes and points that cannot reach the overlap a link needs are pruned. Components that
+   survive together form a canopy, of which a task reports a spanning forest, not all pairs. The sets of
+   a canopy's documents then meet (large canopies and blocks as pairs of tiles), are searched by an R-tree again, and
+   pairs not yet joined are verified on the sets themselves.
 5. Components come from alternating star contraction over the links, written to the shared folder each round.
 
 No block, candidate list or component is capped. Rows with a null identifier link with nothing and get a null component;
@@ -40,6 +41,7 @@ GROUPS = 256
 TILE = 2048
 LEAF = 16
 PROBES_PER_HEAD = 512
+CANOPY_TILE = 512
 #: Sets smaller than this use their elements as groups.
 SMALL = 32
 
@@ -189,18 +191,32 @@ def _blocks(base: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc_id long, head long")
 
 
+def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (stored; ``doc_id`` and more) with the ``text``; texts that cannot be wanted are left out before the exchange."""
+    blocks_df, blocks = bloom(wanted.select(F.col("doc_id").alias("key")).distinct())
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
+    if blocks <= BROADCAST_BLOCKS:
+        tested = rows.withColumns({"block": block_of(F.col("doc_id"), blocks), "own": mask_of(F.col("doc_id"))})
+        rows = tested.join(F.broadcast(blocks_df), "block").where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own")).select("doc_id", "text")
+    return rows.join(wanted, "doc_id")
+
+
+def links_between(a: np.ndarray, b: np.ndarray) -> bool:
+    """Do two sorted sets link?"""
+    if not len(a) or not len(b):
+        return False
+    i = np.searchsorted(a, b)
+    i[i == len(a)] = 0
+    common = int((a[i] == b).sum())
+    return DEN * common >= NUM * (len(a) + len(b) - common)
+
+
 def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     """The rows of ``pairs`` (``a``, ``b``; distinct) whose sets link. A ``b`` with many partners is dealt to several tasks."""
     heads = pairs.groupBy("b").agg(F.ceil(F.count("*") / PROBES_PER_HEAD).cast("int").alias("salts"))
     probes = pairs.join(heads, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("head"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     builds = heads.select(F.col("b").alias("doc_id"), F.col("b").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    roles = stored(docs.sparkSession, probes.unionByName(builds), "ngram-roles")
-    blocks_df, blocks = bloom(roles.select(F.col("doc_id").alias("key")).distinct())
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    if blocks <= BROADCAST_BLOCKS:
-        tested = rows.withColumns({"block": block_of(F.col("doc_id"), blocks), "own": mask_of(F.col("doc_id"))})
-        rows = tested.join(F.broadcast(blocks_df), "block").where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own")).select("doc_id", "text")
-    placed = rows.join(roles.groupBy("doc_id").agg(F.collect_list(F.struct("head", "salt", "role")).alias("roles")), "doc_id")
+    roles = stored(docs.sparkSession, probes.unionByName(builds).groupBy("doc_id").agg(F.collect_list(F.struct("head", "salt", "role")).alias("roles")), "ngram-roles")
 
     def build(batches):
         for b in batches:
@@ -209,7 +225,7 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["head", "salt", "role", "doc_id", "s"])
 
-    met = placed.select("doc_id", "text", "roles").mapInArrow(build, "head long, salt int, role int, doc_id long, s binary").repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", "role")
+    met = _with_text(docs, roles).select("doc_id", "text", "roles").mapInArrow(build, "head long, salt int, role int, doc_id long, s binary").repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", "role")
 
     def check(batches):
         at, own = None, None
@@ -219,13 +235,9 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
                 s = np.frombuffer(raw, np.uint64)
                 if role == 0:
                     at, own = (head, salt), s
-                elif at == (head, salt):
-                    i = np.searchsorted(own, s)
-                    i[i == len(own)] = 0
-                    common = int((own[i] == s).sum()) if len(own) else 0
-                    if DEN * common >= NUM * (len(own) + len(s) - common):
-                        a.append(doc)
-                        h.append(head)
+                elif at == (head, salt) and links_between(own, s):
+                    a.append(doc)
+                    h.append(head)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(h, pa.int64())], ["a", "b"])
 
     return met.mapInArrow(check, "a long, b long")
@@ -267,53 +279,117 @@ class RTree:
         return self.order[nodes[fits]]
 
 
-def _candidates(base: DataFrame, blocks: DataFrame, comp: DataFrame, parts: int) -> DataFrame:
-    """Distinct pairs (``a`` < ``b``) of different components that share a block and pass the R-tree."""
+class Union:
+    """Disjoint sets of identifiers."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while (y := p.get(x, x)) != x:
+            p[x] = x = p.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _groups(batches, keys: int, columns: int):
+    """Rows of consecutive equal keys (the first ``keys`` columns), as lists of tuples."""
+    own: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b.column(i).to_pylist() for i in range(columns)), strict=True):
+            if own and own[0][:keys] != r[:keys]:
+                yield own
+                own = []
+            own.append(r)
+    if own:
+        yield own
+
+
+def _sides(tile: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    every = np.arange(len(tile))
+    return (every, every) if i == j else (np.flatnonzero(tile == i), np.flatnonzero(tile == j))
+
+
+def _tiled(rows: DataFrame, group: str, *cols: str) -> DataFrame:
+    """``rows`` (with ``tiles`` of their group) dealt as pairs of tiles: ``group``, ``i``, ``j``, ``t`` and ``cols``."""
+    each = rows.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    dealt = each.select(group, "t", *cols, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
+    return dealt.select(group, F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", *cols)
+
+
+def _mixed(blocks: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of the blocks that hold several components: ``key``, ``doc_id``, ``comp``, ``tiles``."""
     placed = blocks.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    rows = placed.join(mixed, "key").withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    dealt = rows.select("key", "doc_id", "comp", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
-    dealt = dealt.select("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "doc_id", "comp")
+    return placed.join(mixed, "key")
+
+
+def _canopies(base: DataFrame, mixed: DataFrame, parts: int) -> DataFrame:
+    """Pairs of components (``a``, ``b``) that the R-tree cannot keep apart: a spanning forest of each task's, which holds the same groups as all pairs would."""
     points = base.where("counts is not null").select("doc_id", "n", "counts").dropDuplicates(["doc_id"])
-    groups = dealt.join(points, "doc_id").select("key", "i", "j", "t", "doc_id", "comp", "n", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def pairs_of(rows_: list[tuple], seen: set) -> None:
-        i, j = rows_[0][1], rows_[0][2]
-        doc, comp_ = np.array([r[4] for r in rows_]), np.array([r[5] for r in rows_])
-        n = np.array([r[6] for r in rows_], np.int64)
-        points_ = np.stack([np.frombuffer(r[7], "<u2") for r in rows_])
-        tile = np.array([r[3] for r in rows_])
-        left, right = (np.arange(len(doc)),) * 2 if i == j else (np.flatnonzero(tile == i), np.flatnonzero(tile == j))
-        if not len(left) or not len(right):
-            return
-        tree = RTree(points_[right], n[right])
-        for q in left:
-            for k in right[tree.search(points_[q], int(n[q]))]:
-                if comp_[q] != comp_[k]:
-                    seen.add((int(min(doc[q], doc[k])), int(max(doc[q], doc[k]))))
+    dealt = _tiled(mixed.join(points, "doc_id"), "key", "doc_id", "comp", "n", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
-        own: list[tuple] = []
-        seen: set[tuple[int, int]] = set()
-
-        def out():
-            cols = list(zip(*seen, strict=True)) or [(), ()]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+        near, out = Union(), []
+        for rows in _groups(batches, 3, 8):
+            comps = [r[5] for r in rows]
+            if len({near.find(c) for c in set(comps)}) < 2:
+                continue
+            n, points_ = np.array([r[6] for r in rows], np.int64), np.stack([np.frombuffer(r[7], "<u2") for r in rows])
+            left, right = _sides(np.array([r[3] for r in rows]), rows[0][1], rows[0][2])
+            if not len(left) or not len(right):
+                continue
+            tree = RTree(points_[right], n[right])
+            for q in left:
+                for k in right[tree.search(points_[q], int(n[q]))]:
+                    if near.join(comps[q], comps[k]):
+                        out.append((comps[q], comps[k]))
+        cols = list(zip(*out, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _links_within(docs: DataFrame, members: DataFrame, parts: int) -> DataFrame:
+    """Links (``a``, ``b``) between components of one canopy: the R-tree proposes, sets decide, and pairs already joined are passed over.
+
+    ``members``: ``doc_id``, ``comp``, ``canopy``. Each task returns a spanning forest of its links.
+    """
+    sizes = members.groupBy("canopy").agg(F.ceil(F.count("*") / CANOPY_TILE).cast("int").alias("tiles"))
+    wanted = stored(docs.sparkSession, members.join(sizes, "canopy"), "ngram-members")
 
+    def build(batches):
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                if own and own[0][:3] != r[:3]:
-                    pairs_of(own, seen)
-                    own = []
-                    if len(seen) > 100_000:
-                        yield out()
-                own.append(r)
-        if own:
-            pairs_of(own, seen)
-        yield out()
+            s = [shingles(t).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary()), *(b.column(i) for i in range(2, 5))], ["doc_id", "s", "comp", "canopy", "tiles"])
+
+    held = _with_text(docs, wanted).select("doc_id", "text", "comp", "canopy", "tiles").mapInArrow(build, "doc_id long, s binary, comp long, canopy long, tiles int")
+    dealt = _tiled(held, "canopy", "doc_id", "comp", "s").repartition(parts, "canopy", "i", "j").sortWithinPartitions("canopy", "i", "j")
 
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        for rows in _groups(batches, 3, 7):
+            joined, out = Union(), []
+            sets_ = [np.frombuffer(r[6], np.uint64) for r in rows]
+            n, points_ = np.array([len(s) for s in sets_], np.int64), np.stack([count_vector(s) for s in sets_])
+            left, right = _sides(np.array([r[3] for r in rows]), rows[0][1], rows[0][2])
+            if not len(left) or not len(right):
+                continue
+            tree = RTree(points_[right], n[right])
+            for q in left:
+                for k in right[tree.search(points_[q], int(n[q]))]:
+                    if joined.find(rows[q][5]) != joined.find(rows[k][5]) and links_between(sets_[q], sets_[k]):
+                        joined.join(rows[q][5], rows[k][5])
+                        out.append((rows[q][5], rows[k][5]))
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def connect(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -347,9 +423,12 @@ def components(docs: DataFrame) -> DataFrame:
     stars = blocks.where("doc_id <> head").groupBy("doc_id", "head").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
     links = stored(spark, verify(docs, stars.select(F.col("doc_id").alias("a"), F.col("head").alias("b")), parts).unionByName(same), "ngram-links")
     comp = connect(spark, links)
-    pairs = stored(spark, _candidates(base, blocks, comp, parts), "ngram-pairs")
-    if not pairs.isEmpty():
-        comp = connect(spark, links.unionByName(verify(docs, pairs, parts)))
+    mixed = stored(spark, _mixed(blocks, comp), "ngram-mixed")
+    near = stored(spark, _canopies(base, mixed, parts), "ngram-near")
+    if not near.isEmpty():
+        canopy = connect(spark, near).withColumnRenamed("doc_id", "comp_").withColumnRenamed("comp", "canopy")
+        members = mixed.select("doc_id", "comp").distinct().join(canopy, F.col("comp") == F.col("comp_")).select("doc_id", "comp", "canopy")
+        comp = connect(spark, links.unionByName(_links_within(docs, members, parts)))
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "print").join(classes, "print", "left").join(comp.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
 

@@ -182,6 +182,7 @@ def components_by_pairs(texts):
 @pytest.mark.parametrize("tile", [2048, 3])
 def test_ngram_join_equals_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "CANOPY_TILE", min(tile, 512))
     rng = random.Random(9)
     chain = [prose(rng, 120)]
     for _ in range(12):  # a chain of near copies whose ends are far apart
