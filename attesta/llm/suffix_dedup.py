@@ -305,79 +305,118 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, base: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``hash``, ``unit``, ``start`` (of the bytes in the unit), ``bytes``, ``sure`` (the same bytes stand elsewhere in the unit too)."""
+    """``hash``, ``unit``, ``start`` (of the bytes in the unit), ``bytes``, ``sure`` (the same bytes stand elsewhere in the unit too), ``at`` (of the anchor in the bytes)."""
     by_unit = repeated.groupBy("unit").agg(F.collect_list(F.struct("hash", "place")).alias("anchors"))
     reps = base.where("hashes is not null").groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(docs.sparkSession, by_unit.join(reps, "unit"), "suffix-wanted")
     rows = _texts_of(docs, wanted).join(wanted.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("key"), "unit", "anchors"), "key").select("unit", "text", "anchors")
-    schema = "hash long, unit binary, start int, bytes binary, sure boolean"
+    schema = "hash long, unit binary, start int, bytes binary, sure boolean, at int"
 
     def run(batches):
+        # Surroundings met before in this task: where first, and whether that place was reported. Emptied when large.
+        seen: dict[bytes, list] = {}
         for b in batches:
             out: list[tuple] = []
+
+            def surely(unit: bytes, lo: int, size: int, out: list[tuple] = out) -> None:
+                out.append((None, unit, lo, size.to_bytes(4, "big"), True, 0))
+
             for unit, t, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (t or "").encode("utf-8", "replace")
                 if hashlib.sha256(raw).digest()[:16] != unit:
                     continue  # another text under the same identifier
-                same: dict[tuple, list[int]] = {}
+                if len(seen) > 400_000:
+                    seen.clear()
                 for a in own:
                     lo = max(0, a["place"] - (LENGTH - GRAM))
-                    same.setdefault((a["hash"], a["place"] - lo, raw[lo : a["place"] + LENGTH]), []).append(lo)
-                for (h, _, ctx), los in same.items():
+                    ctx, at = raw[lo : a["place"] + LENGTH], a["place"] - lo
                     if len(ctx) < LENGTH:
                         continue
-                    los.sort()
-                    out.append((h, unit, los[0], ctx, len(los) > 1))
-                    out += [(None, unit, lo, len(ctx).to_bytes(4, "big"), True) for lo in los[1:]]
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_())
+                    key = hashlib.blake2b(ctx, digest_size=16, key=at.to_bytes(2, "big")).digest()
+                    first = seen.get(key)
+                    if first is None:
+                        seen[key] = [unit, lo, False]
+                        out.append((a["hash"], unit, lo, ctx, False, at))
+                    elif (first[0], first[1]) != (unit, lo):
+                        surely(unit, lo, len(ctx))
+                        if not first[2]:
+                            first[2] = True
+                            surely(first[0], first[1], len(ctx))
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.int32())
             for i in range(0, len(out), 4096):
                 cols = zip(*out[i : i + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hash", "unit", "start", "bytes", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hash", "unit", "start", "bytes", "sure", "at"])
 
     return rows.mapInArrow(run, schema)
 
 
+def _may_repeat(variants: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """Of the surroundings (anchor's place, bytes) of one anchor those that can share a string with another.
+
+    A string of ``LENGTH`` bytes that holds the anchor also holds either the bytes up to HALF before
+    it or those up to HALF behind it, whole.
+    """
+    half = (LENGTH - GRAM) // 2
+    before = [ctx[at - half : at + GRAM] if at >= half else None for at, ctx in variants]
+    behind = [ctx[at : at + GRAM + half] if len(ctx) >= at + GRAM + half else None for at, ctx in variants]
+    n_before, n_behind = Counter(before), Counter(behind)
+    return [v for v, x, y in zip(variants, before, behind, strict=True) if x is not None and n_before[x] > 1 or y is not None and n_behind[y] > 1]
+
+
 def _shard(batches):
-    """Intervals (``unit``, ``lo``, ``hi``) of the surroundings of whole anchors, sorted at most ``SHARD_BYTES`` at once."""
-
-    def solve(rows: list[tuple]):
-        numbers: dict[bytes, int] = {}
-        same: dict[tuple, list[int]] = {}
-        for i, (h, _, _, ctx, _) in enumerate(rows):
-            same.setdefault((h, ctx), []).append(i)
-        out = []
-        variants = Counter(h for h, _ in same)
-        lone, keys, number = [], [], {}
-        for (h, ctx), own in same.items():
-            if variants[h] > 1:  # an anchor with one kind of surroundings has nothing to be sorted against
-                u = rows[own[0]][1]
-                number[h, ctx] = len(lone)
-                keys.append((numbers.setdefault(u, len(numbers)) << 32) + rows[own[0]][2])
-                lone.append(ctx)
-        found = repeats(lone, np.array(keys, np.int64)) if lone else []
-        for (h, ctx), own in same.items():
-            sure = len(own) > 1 or rows[own[0]][4]
-            spans = [(0, len(ctx))] if sure else spans_of(found[number[h, ctx]]) if (h, ctx) in number else []
-            out += [(rows[i][1], rows[i][2] + a, rows[i][2] + b) for i in own for a, b in spans]
-        return out
-
-    def emit(out: list[tuple]):
+    """Intervals (``unit``, ``lo``, ``hi``) from the surroundings of whole anchors; about ``SHARD_BYTES`` are sorted at once."""
+    numbers: dict[bytes, int] = {}
+    held: list[tuple[bytes, tuple]] = []
+    out: list[tuple] = []
+    size = 0
+
+    def sort() -> None:
+        nonlocal size
+        keys = np.array([(numbers.setdefault(own[1], len(numbers)) << 32) + own[2] for _, own in held], np.int64)
+        for (_, own), starts in zip(held, repeats([c for c, _ in held], keys), strict=True):
+            if not own[4]:
+                out.extend((own[1], own[2] + a, own[2] + b) for a, b in spans_of(starts))
+        held.clear()
+        numbers.clear()
+        size = 0
+
+    def emit():
         for i in range(0, len(out), 8192):
             u, a, b = zip(*out[i : i + 8192], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["unit", "lo", "hi"])
-
-    rows, size, last = [], 0, None
-    for batch in batches:
-        for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if r[0] != last:
-                if size > SHARD_BYTES:
-                    yield from emit(solve(rows))
-                    rows, size = [], 0
-                last = r[0]
-            rows.append(r)
-            size += len(r[3])
-    if rows:
-        yield from emit(solve(rows))
+        out.clear()
+
+    def close(same: dict[tuple[int, bytes], list]) -> None:
+        nonlocal size
+        if len(same) < 2 or all(v[2] for v in same.values()):
+            return  # an anchor with one kind of surroundings has nothing to be sorted against
+        near = _may_repeat(list(same))
+        if all(same[v][2] for v in near):
+            return
+        for v in near:
+            held.append((v[1], (None, *same[v][:2], None, same[v][2])))
+            size += len(v[1])
+        if size > SHARD_BYTES:
+            sort()
+
+    last, same = None, {}
+    for b in batches:
+        for h, unit, start, ctx, _, at in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if h != last:
+                close(same)
+                last, same = h, {}
+            first = same.setdefault((at, ctx), [unit, start, False])
+            if (first[0], first[1]) != (unit, start):
+                out.append((unit, start, start + len(ctx)))
+                if not first[2]:
+                    first[2] = True
+                    out.append((first[0], first[1], first[1] + len(ctx)))
+        if len(out) > 20_000:
+            yield from emit()
+    close(same)
+    if held:
+        sort()
+    yield from emit()
 
 
 def intervals(docs: DataFrame, base: DataFrame, parts: int) -> DataFrame:
