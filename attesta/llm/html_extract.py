@@ -39,6 +39,8 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"
 _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
 _RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "option", "object", "math", "canvas"}
+#: Elements whose content is text up to their end tag, whatever it holds.
+_VERBATIM = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
 _SKIP = {"nav", "footer", "aside", "form", "head", "button", "menu", "dialog", "figcaption"} | _RAW
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -74,7 +76,7 @@ def _junk(name: str, tag: str, in_article: bool) -> bool:
 def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
     """(text, in article, heading, link density) of each block outside skipped regions, in page order."""
     out, cur, pos = [], _Block("", False), 0
-    skip, depth, main, links, raw = "", 0, 0, 0, ""
+    skip, depth, main, links = "", 0, 0, 0
 
     def close(tag: str) -> None:
         nonlocal cur
@@ -84,22 +86,14 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
         cur = _Block(tag, main > 0)
 
     def add(text: str) -> None:
-        if skip or raw or not text:
+        if skip or not text:
             return
         cur.parts.append(text)
         if links:
             cur.linked += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, pos):
         tag = m[0]
-        if raw:
-            end = _NAME.match(tag)
-            if not (end and tag[1] == "/" and end[1].lower() == raw):
-                continue
-            raw, pos = "", m.end()
-            if skip and depth == 1 and skip == end[1].lower():
-                skip, depth = "", 0
-            continue
         add(page[pos : m.start()])
         pos = m.end()
         name_m = _NAME.match(tag)
@@ -107,21 +101,21 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
             continue
         name, closing = name_m[1].lower(), tag[1] == "/"
         void = name in _VOID or tag.endswith("/>")
+        if name in _VERBATIM and not closing and not void:
+            if not skip and name in {"title", "textarea", "iframe"}:
+                close("")
+            end = _VERBATIM[name].search(page, pos)
+            pos = end.end() if end else len(page)
+            continue
         if skip:
             if name == skip and not void:
                 depth += -1 if closing else 1
                 if depth == 0:
                     skip = ""
-            elif not closing and name in _RAW and not void:
-                raw = name
-            continue
-        if not closing and name in {"script", "style", "textarea", "noscript", "template", "title", "svg"} and not void:
-            if name in {"title", "svg", "textarea"}:
-                close("")
-            raw = name
             continue
         if not closing and not void and _junk(name, tag, main > 0):
-            close("")
+            if name != "template":
+                close("")
             skip, depth = name, 1
             continue
         if name == "a":
@@ -137,8 +131,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
                 close("" if closing else name)
             if name in {"p", "div", "li", "td"}:
                 links = 0
-    if not raw:
-        add(page[pos:])
+    add(page[pos:])
     close("")
     return out
 

@@ -319,6 +319,15 @@ def test_html_extract(spark):
     assert [r.n_chars == len(r.text) for r in html_extract.extract_pages(df).collect()] == [True] * 5
 
 
+def test_html_extract_raw_elements():
+    good = "The quick brown fox was in the house and it is not what they were all about, said the man who had been there for years and years."
+    raw = ["<script>for(i=0;i<n;i++){f(i)}</script>", "<script><!-- if (a<b) </SCRIPT >", "<style><!-- p<a {} </style>", "<script>s='</scripted><article>no';</script>", "<noscript><p>i<n</noscript>", "<textarea><!-- a<b</textarea>", "<template><script>i<n</script>no<template>no</template>no</template>"]
+    for r in raw:
+        for page in (f"<body>{r}<article><p>{good}</p></article>", f"<head><title>a<b</title>{r}</head><article><p>{good}</p></article>", f"<article><p>{good}</p>{r}</article><nav>{r}</nav>"):
+            assert html_extract.extract(page) == good, page
+    assert html_extract.extract(f"<article><p>{good}</p><script>i<n<p>{good}</p></article>") == good
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------
 
 
