@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +31,34 @@ _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+")
+_IBAN_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{24,}+")
+#: Characters of an IBAN by country, as registered.
+_IBAN_CHARS = {
+    country: n
+    for n, countries in {
+        15: "NO",
+        16: "BE",
+        18: "DK FO FI GL NL FK SD",
+        19: "MK SI",
+        20: "AT BA EE KZ LT LU XK MN",
+        21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST",
+        26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA",
+        30: "JO KW MU YE",
+        31: "MT SC",
+        32: "LC",
+        33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 _PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "secret": 0.3}
@@ -77,6 +104,28 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """What follows may look like more of the number: the end at its country's length counts first, then, clear of those, the longest that passes."""
+    due, other, at = [], [], 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 4
+        ends = [e for e in range(m.end(), at, -1) if _IBAN_END.match(text, e)]
+        size = _IBAN_CHARS.get(m[0][:2])
+        exact = next((e for e in ends if len(text[start:e].replace(" ", "")) == size and mod97(text[start:e])), None)
+        if exact:
+            due.append((start, exact))
+            at = exact
+        else:
+            other += [(start, e) for e in ends if mod97(text[start:e])][:1]
+    kept, done = [], 0
+    for start, end in other:
+        k = bisect_left(due, (start, end))
+        if start >= done and (k == 0 or due[k - 1][1] <= start) and (k == len(due) or due[k][0] >= end):
+            kept.append((start, end))
+            done = end
+    return sorted(due + kept)
+
+
 def _score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float:
     """Prior of the kind, plus checksum and context; between 0 and 1."""
     around = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS // 2]
@@ -110,10 +159,12 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum(map(str.isdigit, m[0])) <= 15:
                 add("phone", m.start(), m.end(), False)
-    for kind, pattern, check in (("iban", _IBAN, mod97), ("secret", _SECRET, _looks_random)):
-        for m in pattern.finditer(text):
-            if check(m[0]) and _score(kind, text, m.start(), m.end(), kind == "iban") >= MIN_SCORE:
-                add(kind, m.start(), m.end(), kind == "iban")
+    for start, end in _ibans(text):
+        if _score("iban", text, start, end, True) >= MIN_SCORE:
+            add("iban", start, end, True)
+    for m in _SECRET.finditer(text):
+        if _looks_random(m[0]) and _score("secret", text, m.start(), m.end(), False) >= MIN_SCORE:
+            add("secret", m.start(), m.end(), False)
     return out
 
 

@@ -103,6 +103,20 @@ def test_pii_rows(spark):
     assert pii.redact(table(spark, texts)).where("doc_id = 5").first().text == "[EMAIL]"
 
 
+def test_iban_ends_before_what_follows(spark):
+    spaced, compact, polish = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "PL61109010140000071219812874"
+    for iban in (spaced, compact, spaced.replace(" ", ""), "NO93 8601 1117 947", polish):
+        for before in ("", "IBAN ", "ref AB12 ", "(", "BIC NWBKGB2L "):
+            for after in ("", " Please pay", " The", " BIC NWBKGB2L", " 2 weeks", " 2026 11 26", ". X", ", " + compact, " " + compact, ")", " é", "\n12 EUR", " A" * 40):
+                t = before + iban + after
+                spans = [s[1:3] for s in pii.find(t) if s[0] == "iban"]
+                assert spans[:1] == [(len(before), len(before) + len(iban))], t
+                assert len(spans) == 1 + after.count(compact), t
+    for t in (compact + "X", "x" + compact, "DE88370400440532013000 The", compact + "ab", "AB12 " * 30_000):
+        assert not [s for s in pii.find(t) if s[0] == "iban"], t[:40]
+    assert pii.redact(table(spark, [f"IBAN {spaced} Please pay"])).first().text == "IBAN [IBAN] Please pay"
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------
 
 
