@@ -6,7 +6,8 @@ a whole. Every occurrence of a window in a document marks its words as hit.
 
 The automaton over word numbers of all items is built on the driver from the benchmark table, whose
 size is checked: beyond ``SHARD_WORDS`` words the items are dealt to several automata, each read in
-a pass of its own over the documents, and the marks are united. In a worker, a document is reduced to word numbers;
+a pass of its own over the same documents; rows are numbered first, and the marks of a row are united before
+anything is judged or cut. In a worker, a document is reduced to word numbers;
 stretches in which two neighbouring words never stand side by side in an item cannot hold a window
 and are skipped; the others stream through the automaton, which keeps the longest match ending at
 each word.
@@ -18,13 +19,14 @@ Repeated items are told apart by ``item_id``; items without one still mark words
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import small_batches
+from attesta.llm.common import small_batches, stored
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
@@ -156,21 +158,22 @@ def _runs(alive: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
 
 
-def indexes(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list[Index]:
-    """One index, or several of at most ``shard_words`` words (at least one item each)."""
-    out, part, size = [], [], 0
+def indexes(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Iterator[Index]:
+    """One index, or several of at most ``shard_words`` words (at least one item each), built as they are asked for."""
+    part, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         words = words_of(row[1])
         if part and size + len(words) > shard_words:
-            out.append(Index(part, window))
+            yield Index(part, window)
             part, size = [], 0
         part.append((row[0], words))
         size += len(words)
-    return [*out, Index(part, window)]
+    yield Index(part, window)
 
 
-def _pass(docs: DataFrame, index: Index) -> DataFrame:
-    schema = "doc_id long, n_words long, hits array<int>, items array<long>"
+def _pass(docs: DataFrame, index: Index, row: str = "", every: bool = True) -> DataFrame:
+    """Marks of one automaton, with the column ``row`` where named; without ``every`` only of the rows it hits."""
+    schema = "doc_id long, n_words long, hits array<int>, items array<long>" + (f", {row} long" if row else "")
 
     def run(batches):
         for b in batches:
@@ -181,21 +184,52 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
                 n.append(len(words))
                 hits.append(h)
                 items.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "hits", "items"])
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64())), *b.columns[2:]], ["doc_id", "n_words", "hits", "items", *([row] if row else [])])
+            yield out if every else out.filter(pa.array([bool(h) for h in hits], pa.bool_()))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *([row] if row else [])).mapInArrow(run, schema)
+
+
+_ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows under a number of their own; written, since a number given anew in each pass might differ."""
+    return stored(docs.sparkSession, docs.withColumn(_ROW, F.monotonically_increasing_id()), "decontaminate-rows")
+
+
+def _united(rows: DataFrame, shards: Iterator[Index], every: bool) -> DataFrame:
+    """Marks of all automata by row number. Each pass is written before the next automaton is built."""
+    both = None
+    for index in shards:
+        p = stored(rows.sparkSession, _pass(rows, index, _ROW, every and both is None), "decontaminate-marks")
+        both = p if both is None else both.unionByName(p)
+    all_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return both.groupBy(_ROW).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), all_of("hits"), all_of("items"))
+
+
+def _one_or_all(shards: Iterator[Index]) -> tuple[Index | None, Iterator[Index]]:
+    """The index where there is only one, else all of them."""
+    first, second = next(shards), next(shards, None)
+    if second is None:
+        return first, iter(())
+    ahead = [second, first]
+
+    def every():
+        while ahead:
+            yield ahead.pop()
+        yield from shards
+
+    return None, every()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``doc_id``, ``n_words``, ``hits`` (numbers of hit words), ``items`` per document. With several automata rows are united by ``doc_id``."""
+    """``doc_id``, ``n_words``, ``hits`` (numbers of hit words), ``items`` of each row."""
     small_batches(docs.sparkSession)
-    passes = [_pass(docs, i) for i in indexes(benchmark, window, shard_words)]
-    if len(passes) == 1:
-        return passes[0]
-    both = passes[0]
-    for p in passes[1:]:
-        both = both.unionByName(p)
-    return both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    index, shards = _one_or_all(indexes(benchmark, window, shard_words))
+    if index:
+        return _pass(docs, index)
+    return _united(_numbered(docs.select("doc_id", "text")), shards, True).drop(_ROW)
 
 
 def report(found: DataFrame, coverage: int = COVERAGE) -> DataFrame:
@@ -220,27 +254,35 @@ def cut(text: str, hits: list[int]) -> str:
     return "".join(out) + text[done:]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
-    """``docs`` without contaminated rows; in the others hit passages are cut out and ``n_chars``, where present, follows. All in one pass per automaton."""
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` without contaminated rows; in the others hit passages are cut out and ``n_chars``, where present, follows.
+
+    One pass with one automaton; with several, their marks are joined to the rows and judged together.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    for index in indexes(benchmark, window):
-
-        def run(batches, index=index):
-            for b in batches:
-                keep, texts = [], []
-                for t in b.column(at).to_pylist():
-                    words = words_of(t)
-                    h = index.hits(words)[0]
-                    keep.append(not h or len(h) * coverage < len(words))
-                    texts.append(cut(t, h) if h and keep[-1] else t)
-                new = pa.array(texts, b.schema.field(at).type)
-                if size_at is not None:
-                    was = b.column(at).to_pylist()
-                    sizes = [len(x) if x is not None and x != o else n for x, o, n in zip(texts, was, b.column(size_at).to_pylist(), strict=True)]
-                    b = b.set_column(size_at, b.schema.field(size_at), pa.array(sizes, b.schema.field(size_at).type))
-                yield b.set_column(at, b.schema.field(at), new).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    index, shards = _one_or_all(indexes(benchmark, window, shard_words))
+    width, schema = len(docs.columns), docs.schema
+
+    def run(batches):
+        for b in batches:
+            was = b.column(at).to_pylist()
+            marks = [None] * len(was) if index else b.column(width).to_pylist()
+            b = b.select(list(range(width)))
+            keep, texts = [], []
+            for t, h in zip(was, marks, strict=True):
+                words = words_of(t) if index or h else []
+                h = index.hits(words)[0] if index else h
+                keep.append(not h or len(h) * coverage < len(words))
+                texts.append(cut(t, h) if h and keep[-1] else t)
+            new = pa.array(texts, b.schema.field(at).type)
+            if size_at is not None:
+                sizes = [len(x) if x is not None and x != o else n for x, o, n in zip(texts, was, b.column(size_at).to_pylist(), strict=True)]
+                b = b.set_column(size_at, b.schema.field(size_at), pa.array(sizes, b.schema.field(size_at).type))
+            yield b.set_column(at, b.schema.field(at), new).filter(pa.array(keep, pa.bool_()))
+
+    if not index:
+        rows = _numbered(docs)
+        docs = rows.join(_united(rows, shards, False).select(_ROW, "hits"), _ROW, "left").select(*[rows[c] for c in schema.names], "hits")
+    return docs.mapInArrow(run, schema)

@@ -387,6 +387,30 @@ def test_clean_cuts_passages_and_drops_contaminated(spark):
     assert set(out) == {1, 3, 4} and out[1].text == other + ". ! end" and out[1].n_chars == len(out[1].text) and out[4].n_chars == 7
 
 
+def test_clean_judges_the_marks_of_all_automata_together(spark):
+    rng = random.Random(9)
+    name = iter(range(10_000))
+    fresh = lambda n: [f"w{next(name)}" for _ in range(n)]
+    a, b, c = fresh(40), fresh(40), fresh(20)
+    items = [" ".join(a), " ".join(b), " ".join(c), " ".join(c[12:] + fresh(1) + fresh(12)), " ".join([*c[8:], *fresh(8)])]
+    texts = [" ".join(x) for x in (
+        [*a, *fresh(460), *b, *fresh(460 + 600)], [*a, *fresh(400), *b, *fresh(420 + 100)], [*a[:30], *fresh(600)], [*fresh(500), *c, *items[4].split()[12:], *fresh(300)], fresh(200), [*b, *b],
+    )] + [None, ""]
+    rows = [(i, t, 5, "de") for i, t in enumerate(texts)] + [(None, texts[1], 5, "x"), (None, texts[2], 5, "x"), (2, texts[4], 5, "y"), (2, texts[2], 5, "y"), (None, None, None, None)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, lang string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = hits_by_search([r[1] for r in rows], list(enumerate(items)))
+    for shard in (1_000_000, 60, 1):
+        found = decontaminate.report(decontaminate.find(docs, bench, shard_words=shard)).collect()
+        assert sorted(map(repr, map(tuple, found))) == sorted(repr((r[0], *want[i])) for i, r in enumerate(rows)), shard
+        left = sorted(map(repr, map(tuple, decontaminate.clean(docs, bench, shard_words=shard).collect())))
+        assert len(left) == sum(not w[4] for w in want.values()), shard
+        if shard == 1_000_000:
+            whole = left
+        assert left == whole, shard
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------
 
 
