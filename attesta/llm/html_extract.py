@@ -38,15 +38,38 @@ _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
-_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "option", "object", "math", "canvas"}
+_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "option"}
 #: Elements whose content is text up to their end tag, whatever it holds.
 _VERBATIM = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
-_SKIP = {"nav", "footer", "aside", "form", "head", "button", "menu", "dialog", "figcaption"} | _RAW
-_VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+_SKIP = {"nav", "footer", "aside", "form", "head", "button", "menu", "dialog", "annotation", "annotation-xml"} | _RAW
+_VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "object", "param", "canvas"} | set(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd semantics maction".split()
+)
 _JUNK = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|site-header|page-header|header|social|share|sharing|related|recommend\w*|comments?|comment-list|replies|disqus|respond|pagination|pager|tags|widget|login|signup|search|skip|copyright)(?:$|[\s_-])"
 )
+#: A header of the article itself, by class.
+_OWN_HEADER = re.compile(r"(?:entry|post|article|story|content)[_-]+header", re.I)
+#: Identifiers are often slugs of the text, so only a whole one counts, with the additions usual in page layouts.
+_JUNK_ID = re.compile(
+    r"(?i)(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|mobile|cookie|blog|wp)[_-]?)*(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|header|social|share|sharing|related|comments?|replies|disqus|respond|pagination|pager|tags|widget|login|signup|search)(?:[_-]?(?:bar|area|list|wrapper|wrap|container|inner|box|links|thread|form|menu|nav|posts|[0-9]+))*"
+)
+#: Class names, in full, that are no part even inside an article.
+_JUNK_INSIDE = frozenset(
+    "ad ads advert advertisement advertising adsbygoogle adsense ad-slot ad-container ad-banner banner-ad sponsored promo cookie-notice cookie-banner newsletter newsletter-signup subscribe sidebar nav navbar navigation breadcrumb breadcrumbs share share-buttons sharing social-share social-links related-posts related-articles comments comments-area comment-list disqus respond pagination pager".split()
+)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements whose end tag may be left out: the start tags that end them, and the containers inside which those do not.
+_CELL = ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"})
+_TERM = ({"dt", "dd"}, {"dl"})
+_IMPLIED = {
+    "p": (
+        _HEADINGS | _CELL[0] | _TERM[0] | {"address", "article", "aside", "blockquote", "center", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"},
+        set(),
+    ),
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": _TERM, "dd": _TERM, "td": _CELL, "th": _CELL, "tr": ({"tr", "tbody", "thead", "tfoot"}, {"table"}), "option": ({"option", "optgroup"}, set()),
+}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 
 
@@ -54,7 +77,13 @@ class _Block:
     __slots__ = ("heading", "linked", "main", "parts", "tag")
 
     def __init__(self, tag: str, main: bool) -> None:
-        self.tag, self.main, self.heading, self.parts, self.linked = tag, main, tag in {"h1", "h2", "h3", "h4", "h5", "h6"}, [], 0
+        self.tag, self.main, self.heading, self.parts, self.linked = tag, main, tag in _HEADINGS, [], 0
+
+
+def _junk_class(token: str, name: str, in_article: bool) -> bool:
+    if in_article:
+        return name not in _HEADINGS and token.lower() in _JUNK_INSIDE
+    return bool(_JUNK.search(token)) and not _OWN_HEADER.fullmatch(token) and not (name in _HEADINGS and token.lower() == "header")
 
 
 def _junk(name: str, tag: str, in_article: bool) -> bool:
@@ -62,21 +91,31 @@ def _junk(name: str, tag: str, in_article: bool) -> bool:
         return True
     if name in {"html", "body", "article", "main"} or name in _INLINE or "=" not in tag and "hidden" not in tag:
         return False
-    for key, *values in _ATTR.findall(tag):
-        value, key = next((v for v in values if v), ""), key.lower()
-        if key in {"class", "id"} and _JUNK.search(value):
+    found = [(key.lower(), next((v for v in values if v), "")) for key, *values in _ATTR.findall(tag)]
+    classes = [c for key, value in found if key == "class" for c in value.split()]
+    for key, value in found:
+        if key == "class" and any(_junk_class(c, name, in_article) for c in classes):
+            return True
+        if key == "id" and name not in _HEADINGS and not (in_article and (name == "section" or "section" in classes)) and _JUNK_ID.fullmatch(value):
             return True
-        if key == "role" and value.lower() in _ROLES or key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
+        if key == "role" and value.lower() in _ROLES and not (in_article and value.lower() == "alert") or key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def _ends(skip: str, inside: dict[str, int], name: str, closing: bool) -> bool:
+    """Whether a tag ends the skipped element without being its end tag: the next sibling's start, or the end of what surrounds it."""
+    if closing:
+        return name != skip and inside.get(name, 0) <= 0 and (name in {"article", "main"} or skip in _IMPLIED and name != "p" and name not in _INLINE and name not in _VOID)
+    return skip in _IMPLIED and name in _IMPLIED[skip][0] and not any(inside.get(c, 0) > 0 for c in _IMPLIED[skip][1])
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
     """(text, in article, heading, link density) of each block outside skipped regions, in page order."""
     out, cur, pos = [], _Block("", False), 0
-    skip, depth, main, links = "", 0, 0, 0
+    skip, depth, main, links, inside = "", 0, 0, 0, {}
 
     def close(tag: str) -> None:
         nonlocal cur
@@ -107,7 +146,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
             end = _VERBATIM[name].search(page, pos)
             pos = end.end() if end else len(page)
             continue
+        if skip and _ends(skip, inside, name, closing):
+            skip = ""
         if skip:
+            if name not in _INLINE and not void:
+                inside[name] = inside.get(name, 0) + (-1 if closing else 1)
             if name == skip and not void:
                 depth += -1 if closing else 1
                 if depth == 0:
@@ -116,7 +159,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
         if not closing and not void and _junk(name, tag, main > 0):
             if name != "template":
                 close("")
-            skip, depth = name, 1
+            skip, depth, inside = name, 1, {}
             continue
         if name == "a":
             links = max(0, links - 1) if closing else links + 1

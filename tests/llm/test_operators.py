@@ -342,6 +342,26 @@ def test_html_extract_raw_elements():
     assert html_extract.extract(f"<article><p>{good}</p><script>i<n<p>{good}</p></article>") == good
 
 
+def test_html_extract_keeps_what_only_sounds_like_layout():
+    good = "The quick brown fox was in the house and it is not what they were all about, said the man who had been there for years and years."
+    keep = [
+        f'<h2 id="side-effects">Side effects</h2><section id="related-work"><p>{good}</p></section>', f'<div id="search-algorithms"><p>{good}</p></div>', f'<div class="entry-header"><h1>Title</h1></div><p>{good}</p>',
+        f'<section id="comments"><h2 id="search" class="header">Search</h2><p class="notice">{good}</p></section>', f'<div class="section" id="navigation"><p>{good}</p></div>',
+    ]
+    text = lambda h: "\n".join(html_extract._SPACE.sub(" ", x).strip() for x in html_extract.re.split(r"<[^>]*>", h) if x.strip())
+    for h in keep:
+        assert html_extract.extract(f"<article><p>{good}</p>{h}<p>{good}</p></article>") == f"{good}\n{text(h)}\n{good}", h
+    for h in keep[:3]:
+        assert html_extract.extract(f"<body><p>{good * 2}</p>{h.replace(good, good * 2)}<p>{good * 2}</p></body>") == f"{good * 2}\n{text(h.replace(good, good * 2))}\n{good * 2}", h
+    figure = f"<article><p>{good}</p><figure><img src=x><figcaption>{good}</figcaption></figure><p>{good} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <object>o<param name=a></object> <canvas>c</canvas></p></article>"
+    assert html_extract.extract(figure) == f"{good}\n{good}\n{good} x=1 o c"
+    for h in (f"<p class=ad>Buy<p>{good}", f"<ul><li class=ad>Buy<ul><li>now<li>or never</ul><li>{good}</ul>", f"<ul><li class=ad>Buy</ul><p>{good}", f"<dl><dt class=ad>Buy<dd>{good}</dl>", f"<table><tr><td class=ad>Buy<td>{good}<tr></table>", f"<div><p class=ad>Buy</div>{good}", f"<datalist><option>Buy<option>it</datalist>{good}"):
+        for end in ("", "</article>"):
+            assert html_extract.extract(f"<article><p>{good}</p>{h}<p>{good}</p>{end}") == f"{good}\n{good}\n{good}", h
+    for h in ('<div class="ad">Buy</div>', '<div class="box share-buttons">Buy</div>', '<div id="comments">Buy</div>', "<aside>Buy</aside>", '<div class="promo">Buy'):
+        assert html_extract.extract(f"<article><p>{good}</p>{h}</article>") == good, h
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------
 
 
