@@ -5,7 +5,8 @@ Regions that are never part of an article are skipped by tag, role or class name
 headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. Pass one
 classifies each remaining block by link density, length and stop-word density as good, bad, near
 good or short; blocks inside an ``article`` or ``main`` element are judged leniently, since the
-author marked them. Pass two gives ambiguous short blocks the label of the nearest decided neighbours
+author marked them. Stop words are known of four languages: a page that hardly holds any, and a block that is not
+written in Latin letters, is classified by length and link density alone. Pass two gives ambiguous short blocks the label of the nearest decided neighbours
 (good when both sides are good, or when the nearer side is).
 
 Null and empty pages give an empty text. Text between a stray ``<`` and the next tag stays text.
@@ -37,6 +38,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"\w+")
+_LATIN = re.compile(r"[A-Za-z\u00C0-\u024F\u1E00-\u1EFF]")
+_FOREIGN = re.compile(r"[^\W\d_A-Za-z\u00AA\u00BA\u00C0-\u024F\u1E00-\u1EFF]")
+#: Chinese, Japanese and Korean signs: one says about as much as three Latin letters.
+_DENSE = re.compile(r"[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 _SPACE = re.compile(r"\s+")
 _RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "option"}
 #: Elements whose content is text up to their end tag, whatever it holds.
@@ -179,20 +184,39 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
     return out
 
 
-def _label(text: str, main: bool, heading: bool, link: float) -> str:
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _stop_density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _foreign(text: str) -> bool:
+    """Mostly letters of another script than Latin."""
+    return not text.isascii() and len(_FOREIGN.findall(text)) > len(_LATIN.findall(text))
+
+
+def _label(text: str, main: bool, heading: bool, link: float, stop: float, known: bool) -> str:
     if link > MAX_LINK_DENSITY:
         return "bad"
     if "©" in text[:3] or re.match(r"(?i)copyright\b", text):
         return "bad" if not main else "short"
-    words = _WORD.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    size = _size(text)
     if main:
-        return "good" if len(text) >= SHORT or stop >= STOP_LOW or heading else "short"
-    if len(text) < SHORT:
+        return "good" if size >= SHORT or stop >= STOP_LOW or heading else "short"
+    if size < SHORT:
         return "short"
-    if stop >= STOP_HIGH:
-        return "good" if len(text) > LONG else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    if stop >= STOP_HIGH or not known or _foreign(text):
+        return "good" if size > LONG else "near"
+    return "near" if stop >= STOP_LOW or size > LONG else "bad"
+
+
+def _known_language(found: list[tuple[str, bool, bool, float]], stops: list[float]) -> bool:
+    """Whether most of the running text outside links holds stop words."""
+    sizes = [(_size(b[0]), x) for b, x in zip(found, stops, strict=True) if b[3] <= MAX_LINK_DENSITY]
+    return 2 * sum(n for n, x in sizes if n >= SHORT and x >= STOP_LOW) >= sum(n for n, _ in sizes if n >= SHORT)
 
 
 def extract(page: str | None) -> str:
@@ -202,10 +226,12 @@ def extract(page: str | None) -> str:
     found = blocks(page)
     if any(b[1] for b in found):
         found = [b for b in found if b[1]]  # the author marked the article; what stands outside is not part of it
-    labels = [_label(*b) for b in found]
+    stops = [_stop_density(b[0]) for b in found]
+    known = _known_language(found, stops)
+    labels = [_label(*b, x, known) for b, x in zip(found, stops, strict=True)]
     decided = [(i, x) for i, x in enumerate(labels) if x in {"good", "bad"}]
     if not any(x == "good" for _, x in decided):
-        labels = ["good" if x in {"near", "short"} and (b[1] or len(b[0]) >= SHORT) else x for x, b in zip(labels, found, strict=True)]
+        labels = ["good" if x in {"near", "short"} and (b[1] or _size(b[0]) >= SHORT) else x for x, b in zip(labels, found, strict=True)]
         decided = [(i, x) for i, x in enumerate(labels) if x in {"good", "bad"}]
     final, k = list(labels), 0
     for i, x in enumerate(labels):

@@ -362,6 +362,22 @@ def test_html_extract_keeps_what_only_sounds_like_layout():
         assert html_extract.extract(f"<article><p>{good}</p>{h}</article>") == good, h
 
 
+def test_html_extract_of_languages_without_stop_words():
+    russian = "Быстрая коричневая лиса перепрыгнула через ленивую собаку, и никто в деревне не удивился этому, потому что так бывало каждое утро."
+    chinese = "敏捷的棕色狐狸跳过了懒狗，村里没有人对此感到惊讶，因为每天早晨都会发生这样的事情，人们早已习惯了这一切，只是笑着继续他们的工作。"
+    japanese = "素早い茶色の狐が怠け者の犬を飛び越えたが、毎朝のことだったので村の誰も驚かなかった。"
+    polish = "Szybki brązowy lis przeskoczył nad leniwym psem, lecz nikt we wsi nawet nie spojrzał, ponieważ zdarzało się tak każdego ranka."
+    links, end = "<div><a href=a>Menü</a> <a href=b>Kontakt</a></div>", "<div>© 2026</div>"
+    for t in (russian, chinese, japanese, polish):
+        assert html_extract.extract(f"<body>{links}<div>{t}</div><p>{t}</p>{end}</body>") == f"{t}\n{t}", t
+        assert html_extract.extract(f"<body>{links}<div>{t * 3}</div><p>{t}</p><p>{t[:20]}</p><p>{t * 3}</p>{end}</body>") == f"{t * 3}\n{t}\n{t[:20]}\n{t * 3}", t
+    good = "The quick brown fox was in the house and it is not what they were all about, said the man who had been there for years and years. " * 2
+    names = "Anna Berg, Carl Dahl, Eva Falk, Gustav Holm, Ida Jung, " * 6
+    assert html_extract.extract(f"<body>{links}<p>{good}</p><p>{names}</p><p>{russian}</p><p>{good}</p>{end}</body>").split("\n") == [good.strip(), names.strip(), russian, good.strip()]
+    assert html_extract.extract(f"<body><p>{names}</p></body>") == names.strip()
+    assert html_extract.extract(f"<body>{links}<p>{good}</p><div>{names[:100]}</div><div>Menu Kontakt Shop Login Preise</div></body>") == good.strip()
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------
 
 
