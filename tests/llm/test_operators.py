@@ -71,6 +71,57 @@ def test_license_scan(spark):
     assert out == [(1, "MIT", "MIT", ""), (2, "", "MIT", "a/b/LICENSE"), (2, "", "MIT", "a/b/LICENSE"), (3, "Apache-2.0", "Apache-2.0", ""), (4, "", "", ""), (5, "", "", ""), (6, "", "", ""), (7, "", "MIT", "a/b/LICENSE")]
 
 
+def test_license_scan_reads_real_headers_and_texts(spark):
+    mit = """MIT License
+
+Copyright (c) 2021 Jane Q. Public and the Acme contributors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+    apache = """# Copyright 2019 The Acme Authors. All rights reserved.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os"""
+    gnu = lambda which: f"""/* Copyright (C) 2020 Jane Public
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {which}General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version. */ int main() {{ return 0; }}"""
+    bsd = next(x for n, x in license_scan.PASSAGES if n == "BSD-3-Clause")
+    want = {
+        "MIT": [mit, "code\n// SPDX-License-Identifier: MIT\n", mit.replace("\n", "\r\n * ")], "Apache-2.0": [apache, "Copyright 2021 Acme\nLicensed under the Apache License, Version 2.0.", "/* SPDX-License-Identifier: Apache-2.0 */"],
+        "GPL-3.0": [gnu(""), "# SPDX-License-Identifier: GPL-3.0-or-later"], "LGPL-3.0": [gnu("Lesser "), gnu("Lesser ").replace("program", "library")], "GPL-2.0": [gnu("").replace("version 3", "version 2")], "LGPL-2.1": [gnu("Lesser ").replace("program", "library").replace("version 3", "version 2.1")], "AGPL-3.0": [gnu("Affero ")], "BSD-3-Clause": ["Copyright (c) 2001 X. All rights reserved.\n" + bsd], "BSD-2-Clause": [bsd[: bsd.index("3. ")] + bsd[bsd.index("THIS S") :]],
+        "MIT OR Apache-2.0": ["# SPDX-License-Identifier: MIT OR Apache-2.0"], "Proprietary": ["Copyright 2021 Acme Widgets Incorporated. All rights reserved."],
+        "": ["A licence to kill is no licence notice about this code", "The driver showed a license and the copyright of the song is held by the band. " * 50, "license " * 5000],
+    }
+    rows = [(k, f"{k}/x", t) for k, t in enumerate(t for ts in want.values() for t in ts)]
+    names = [n for n, ts in want.items() for _ in ts]
+    files = spark.createDataFrame(rows + [(100, "0/sub/code.c", "int x;")], "doc_id long, path string, text string")
+    out = {r.doc_id: r for r in license_scan.scan(files, license_scan.templates(spark)).collect()}
+    assert [out[k].own_license or "" for k in range(len(names))] == names
+    assert out[100].license == "MIT" and out[100].inherited_from == "0/x"
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------
 
 
