@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm.common import shared_dir, stored
-from attesta.llm.url_filter import BROADCAST_BLOCKS, block_of, bloom, mask_of
+from attesta.llm.url_filter import possible
 
 FILES_PER_BATCH = 4096
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -87,16 +87,12 @@ def stream_state(spark: SparkSession, keys_path: str, at: str) -> DataFrame:
 def differing(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Rows whose bytes differ from those of the row that would stay: ``doc_id``, ``digest``, ``size``, ``norm``.
 
-    Only texts whose digest may be shared travel: a blocked Bloom filter of the shared digests
-    stands before the exchange, where it is small enough to be broadcast.
+    Only texts whose digest may be shared travel: a blocked Bloom filter of the shared digests,
+    of bounded size, stands before the exchange.
     """
     shared = state.where("group_size > 1").select("digest", "keep_id")
-    blocks_df, blocks = bloom(shared.select(F.col("digest").alias("key")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).alias("size"), normalised(F.col("text")).alias("norm"))
-    rows = rows.withColumn("digest", digest(F.col("norm")))
-    if blocks <= BROADCAST_BLOCKS:
-        tested = rows.withColumns({"block": block_of(F.col("digest"), blocks), "own": mask_of(F.col("digest"))})
-        rows = tested.join(F.broadcast(blocks_df), "block").where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own")).drop("block", "own", "bits")
+    rows = possible(rows.withColumn("key", digest(F.col("norm"))), shared.select(F.col("digest").alias("key"))).withColumnRenamed("key", "digest")
     hits = rows.join(shared, "digest")
     keepers = hits.where("doc_id = keep_id").groupBy("digest").agg(F.first("norm").alias("keep_norm"))
     return hits.join(keepers, "digest").where(F.col("norm") != F.col("keep_norm")).select("doc_id", "digest", "size", "norm")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm.common import shuffle_partitions, small_batches, stored
-from attesta.llm.url_filter import BROADCAST_BLOCKS, block_of, bloom, mask_of
+from attesta.llm.url_filter import possible
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -193,12 +193,8 @@ def _blocks(base: DataFrame, parts: int) -> DataFrame:
 
 def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (stored; ``doc_id`` and more) with the ``text``; texts that cannot be wanted are left out before the exchange."""
-    blocks_df, blocks = bloom(wanted.select(F.col("doc_id").alias("key")).distinct())
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    if blocks <= BROADCAST_BLOCKS:
-        tested = rows.withColumns({"block": block_of(F.col("doc_id"), blocks), "own": mask_of(F.col("doc_id"))})
-        rows = tested.join(F.broadcast(blocks_df), "block").where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own")).select("doc_id", "text")
-    return rows.join(wanted, "doc_id")
+    rows = docs.selectExpr("cast(doc_id as long) key", "cast(text as string) text").where("key is not null")
+    return possible(rows, wanted.select(F.col("doc_id").alias("key")).distinct()).withColumnRenamed("key", "doc_id").join(wanted, "doc_id")
 
 
 def links_between(a: np.ndarray, b: np.ndarray) -> bool:

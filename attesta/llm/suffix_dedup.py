@@ -4,38 +4,42 @@ Every byte covered by a ``LENGTH``-byte string that also starts anywhere else go
 another; strings are judged on the input. Texts are UTF-8 bytes; null counts as empty.
 
 1. Equal texts are one unit with a count; a unit that occurs twice is removed whole if it is long enough.
-2. In each window of ``LENGTH - GRAM + 1`` grams of ``GRAM`` bytes the gram of least hash is an anchor: equal strings
-   of ``LENGTH`` bytes hold the same anchor at the same place. Anchors that occur once cannot be part
-   of a repeated string and go no further.
-3. The bytes around each remaining anchor, all that a string holding it can reach, are dealt by anchor to shards.
-   Equal surroundings are repeats as they stand and are sorted once.
+2. A string of ``LENGTH`` bytes is named after the ``GRAM``-byte gram of least hash in it, so equal strings have equal names.
+   Consecutive starts with equal names form a segment; each start lies in one segment only. Names that one segment
+   alone bears, in which the gram stands once, cannot belong to a repeated string and go no further.
+3. Segments of equal bytes are met by partial aggregation, not expanded: a segment that occurs twice repeats as a whole,
+   and one of its places stands for all. Of names that segments of different bytes bear, one place of each goes,
+   with its bytes, to the shard of its name; a name with very many goes to several tiles.
 4. Each shard is suffix-sorted by induced sorting: suffixes are classified, the leftmost smaller
    substrings are sorted and named, the string of names is sorted in turn (by doubling, to the depth
    that ``LENGTH`` needs), and the rest is induced bucket by bucket with array operations. Permuted common
-   prefixes with the neighbour in the suffix array, in text order and on the bytes themselves, give the repeats.
-5. Intervals return to their unit, are merged and cut out.
+   prefixes with the neighbour in the suffix array, taken in text order and on the bytes themselves, give the repeats.
+   Tiles of one name then exchange digests of their distinct strings.
+5. Intervals return to their row, are merged and cut out.
 
-Rows that repeat an identifier are separate texts if they differ; a null identifier is one as any other.
+Rows that repeat an identifier are separate texts; a null identifier is one as any other. Rows are found
+again by a hash of identifier and text, and the text's digest is compared before anything is cut.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import shuffle_partitions, small_batches, stored
+from attesta.llm.common import shuffle_partitions, small_batches, spent, stored
 from attesta.llm.ngram_join import _power, mix
-from attesta.llm.url_filter import BROADCAST_BLOCKS, block_of, bloom, mask_of
+from attesta.llm.url_filter import possible
 
 LENGTH = 200
 GRAM = 64
-#: Bytes of surroundings sorted at once, unless one anchor alone has more.
+#: Bytes sorted at once, unless one name alone has more.
 SHARD_BYTES = 2_000_000
+#: Bytes of one name's segments in a tile.
+TILE_BYTES = 8_000_000
 
 
 def _extreme(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -49,76 +53,62 @@ def _extreme(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the anchors of one text."""
+def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of one text's segments: names, hashes of their bytes, first starts, numbers of starts, and whether the naming gram stands in them twice."""
     n = len(raw)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
     up, down = _power(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
     h = mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
     w = length - gram + 1
     least = _extreme(h, w, np.minimum)
-    # A gram is an anchor if it is the least of some window: then the largest of its windows' minima is its own hash.
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    count = np.diff(np.append(first, len(least)))
+    # The grams that are the least of some window, in text order: as many runs of equal ones as there are segments.
     edge = np.zeros(w - 1, np.uint64)
     top = _extreme(np.concatenate([edge, least, edge]), w, np.maximum)
-    at = np.flatnonzero(top == h)
-    return h[at].view(np.int64), at.astype(np.int32)
+    at = h[top == h]
+    run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    tied = np.diff(np.append(run, len(at))) > 1
+    end = first + count + length - 1
+    content = mix((prefix[end] - prefix[first]) * down[first] + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return least[first].view(np.int64), content.view(np.int64), first.astype(np.int32), count.astype(np.int32), tied
+
+
+_SEGMENT = pa.struct([("name", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("tied", pa.bool_())])
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``unit``, ``n_bytes``, ``sha`` and, for the first of equal texts in a task, ``hashes`` and ``places``."""
-    schema = "doc_id long, unit binary, n_bytes long, sha string, hashes array<long>, places array<int>"
+    """``row`` (a number), ``key`` (of identifier and text), ``doc_id``, ``sha``, ``n_bytes`` and, for the first of equal texts in a task, ``segments``."""
+    schema = "key long, doc_id long, sha binary, n_bytes long, segments array<struct<name:long,content:long,start:int,n:int,tied:boolean>>"
 
     def run(batches):
         seen: set[bytes] = set()
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for t in b.column(1).to_pylist():
+            shas, sizes, ends, found = [], [], [0], []
+            for t in b.column(2).to_pylist():
                 raw = (t or "").encode("utf-8", "replace")
-                sha = hashlib.sha256(raw)
-                unit = sha.digest()[:16]
-                h = p = None
-                if len(raw) >= LENGTH and unit not in seen:
-                    seen.add(unit)
-                    h, p = anchors(np.frombuffer(raw, np.uint8))
-                for c, v in zip(cols, (unit, len(raw), sha.hexdigest(), h, p), strict=True):
-                    c.append(v)
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "unit", "n_bytes", "sha", "hashes", "places"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+                sha = hashlib.sha256(raw).digest()
+                shas.append(sha)
+                sizes.append(len(raw))
+                own = 0
+                if len(raw) >= LENGTH and sha not in seen:
+                    seen.add(sha)
+                    found.append(segments(np.frombuffer(raw, np.uint8)))
+                    own = len(found[-1][0])
+                ends.append(ends[-1] + own)
+            cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, k) for k in ("<i8", "<i8", "<i4", "<i4", "?")]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in cols], fields=list(_SEGMENT)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shas, pa.binary()), pa.array(sizes, pa.int64()), lists], ["key", "doc_id", "sha", "n_bytes", "segments"])
 
+    return _keyed(docs).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
-def _repeated_anchors(base: DataFrame, parts: int) -> DataFrame:
-    """``unit``, ``hash``, ``place`` of the anchors that occur at two places at least."""
-    rows = base.where("hashes is not null").select("unit", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("unit", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place")).repartition(parts, "hash")
 
-    def run(batches):
-        parts_ = list(batches)
-        if not parts_:
-            return
-        t = pa.Table.from_batches(parts_).combine_chunks()
-        h, p = t.column(1).to_numpy(), t.column(2).to_numpy()
-        raw = t.column(0).chunk(0) if t.num_rows else None
-        if raw is None:
-            return
-        u = np.frombuffer(raw.buffers()[2], np.uint8, count=16 * len(h), offset=raw.offset * 16 if raw.buffers()[1] else 0).reshape(-1, 16).copy().view("<u8")
-        order = np.lexsort((p, u[:, 1], u[:, 0], h))
-        h, p, u = h[order], p[order], u[order]
-        same = (h[1:] == h[:-1]) & (p[1:] == p[:-1]) & (u[1:] == u[:-1]).all(axis=1)
-        keep = np.concatenate([[True], ~same])
-        h, p, u = h[keep], p[keep], u[keep]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(head, len(h)))
-        keep = np.repeat(size > 1, size)
-        h, p, u = h[keep], p[keep], u[keep]
-        for i in range(0, len(h), 50_000):
-            own = u[i : i + 50_000].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([own[j : j + 16] for j in range(0, len(own), 16)], pa.binary()), pa.array(h[i : i + 50_000]), pa.array(p[i : i + 50_000])], ["unit", "hash", "place"])
-
-    return rows.mapInArrow(run, "unit binary, hash long, place int")
+def _keyed(docs: DataFrame) -> DataFrame:
+    own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return own.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
 # --- suffix sorting -------------------------------------------------------------------------
@@ -239,47 +229,44 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     return _induce(t, s, sa, ends, lms)
 
 
-def repeats(texts: list[bytes], keys: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each text the starts of its ``length``-byte strings that also start elsewhere.
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """For the places ``at``, in text order: symbols shared with the suffix that stands before in the array, ``depth`` at most."""
+    n = len(t)
+    before = np.empty(n, np.int64)
+    before[sa[1:]], before[sa[0]] = sa[:-1], n - 1
+    before = before[at]
+    w, out, live = _words(t), np.zeros(len(at), np.int64), np.arange(len(at))
+    for off in range(0, depth, 4):
+        x, y = at[live] + off, before[live] + off
+        inside = (x < n) & (y < n)
+        live, x, y = live[inside], x[inside], y[inside]
+        if not len(live):
+            break
+        differ = w[x] ^ w[y]
+        out[live] += np.select([differ >> np.uint64(s) != 0 for s in (48, 32, 16, 0)], [0, 1, 2, 3], 4)
+        live = live[differ == 0]
+    return np.minimum(out, depth)
 
-    ``keys``: number of the place where each text begins; two starts with equal number (key plus start) are the same place.
-    """
+
+def repeats(texts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the starts of its ``length``-byte strings that also start elsewhere in ``texts``, and those at which a string first stands in the suffix array."""
     sizes = np.array([len(x) for x in texts], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     n = int((sizes + 1).sum()) + 1
     t = np.zeros(n, np.uint16)
-    raw = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
-    t[: n - 1] = raw.astype(np.uint16) + 1
+    t[: n - 1] = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8).astype(np.uint16) + 1
     sa = suffix_array(t, length)
-    # Permuted common prefixes: in text order, with the suffix that stands before in the array.
-    phi = np.empty(n, np.int64)
-    phi[sa[1:]], phi[sa[0]] = sa[:-1], n - 1
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    within = np.arange(n - 1) - starts[owner]
     whole = np.zeros(n, bool)
-    whole[: n - 1] = within + length <= sizes[owner]
-    at = np.flatnonzero(whole & whole[phi])
-    w = _words(t)
-    for off in range(0, length, 4):
-        if not len(at):
-            break
-        left = length - off
-        cut = np.uint64(16 * max(0, 4 - left))
-        at = at[(w[at + off] >> cut) == (w[phi[at] + off] >> cut)]
-    joined = np.zeros(n, bool)  # the suffix agrees with the one before it in the array
-    joined[at] = True
-    group = np.cumsum(~joined[sa])
-    place = np.zeros(n, np.int64)
-    place[: n - 1] = keys[owner] + within
-    eligible = whole[sa]
-    g, p, i = group[eligible], place[sa][eligible], sa[eligible]
-    if not len(g):
-        return [np.zeros(0, np.int64) for _ in texts]
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    varied = np.minimum.reduceat(p, first) != np.maximum.reduceat(p, first)
-    hit = np.zeros(n, bool)
-    hit[i[np.repeat(varied, np.diff(np.append(first, len(g))))]] = True
-    return [np.flatnonzero(hit[a : a + m]) for a, m in zip(starts, sizes, strict=True)]
+    whole[: n - 1] = (np.arange(n - 1) - np.repeat(starts, sizes + 1)) + length <= np.repeat(sizes, sizes + 1)
+    at = np.flatnonzero(whole)
+    joined = np.zeros(n + 1, bool)  # the suffix agrees with the one before it in the array, of a whole string too
+    joined[at] = permuted_prefixes(t, sa, at, length) >= length
+    rank = sa[whole[sa]]
+    follows = joined[rank]
+    hit, first = np.zeros(n, bool), np.zeros(n, bool)
+    hit[rank] = follows | np.append(follows[1:], False)
+    first[rank[~follows]] = True
+    return [(np.flatnonzero(hit[a : a + m]), np.flatnonzero(first[a : a + m])) for a, m in zip(starts, sizes, strict=True)]
 
 
 def spans_of(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -293,140 +280,92 @@ def spans_of(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
 # --- the operator ------------------------------------------------------------------------------
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` of the rows whose identifier is in ``ids``; texts that cannot be are left out before the exchange."""
-    wanted = ids.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("key")).distinct()
-    blocks_df, blocks = bloom(wanted)
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("key", F.coalesce("doc_id", F.lit(-(2**63) + 1)))
-    if blocks <= BROADCAST_BLOCKS:
-        tested = rows.withColumns({"block": block_of(F.col("key"), blocks), "own": mask_of(F.col("key"))})
-        rows = tested.join(F.broadcast(blocks_df), "block").where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own")).select("doc_id", "text", "key")
-    return rows
+def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (stored; ``key``, ``sha`` and more) with the ``text``; texts that cannot be wanted are left out before the exchange."""
+    return possible(_keyed(docs).select("key", "text"), wanted.select("key").distinct()).hint("merge").join(wanted, "key")
 
 
-def _surroundings(docs: DataFrame, base: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``hash``, ``unit``, ``start`` (of the bytes in the unit), ``bytes``, ``sure`` (the same bytes stand elsewhere in the unit too), ``at`` (of the anchor in the bytes)."""
-    by_unit = repeated.groupBy("unit").agg(F.collect_list(F.struct("hash", "place")).alias("anchors"))
-    reps = base.where("hashes is not null").groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(docs.sparkSession, by_unit.join(reps, "unit"), "suffix-wanted")
-    rows = _texts_of(docs, wanted).join(wanted.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("key"), "unit", "anchors"), "key").select("unit", "text", "anchors")
-    schema = "hash long, unit binary, start int, bytes binary, sure boolean, at int"
+def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``name``, ``tile``, ``tiles``, ``row``, ``start``, ``bytes``, ``twice`` of the segments in ``wanted``."""
 
     def run(batches):
-        # Surroundings met before in this task: where first, and whether that place was reported. Emptied when large.
-        seen: dict[bytes, list] = {}
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
         for b in batches:
             out: list[tuple] = []
-
-            def surely(unit: bytes, lo: int, size: int, out: list[tuple] = out) -> None:
-                out.append((None, unit, lo, size.to_bytes(4, "big"), True, 0))
-
-            for unit, t, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for t, sha, row, own in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = (t or "").encode("utf-8", "replace")
-                if hashlib.sha256(raw).digest()[:16] != unit:
-                    continue  # another text under the same identifier
-                if len(seen) > 400_000:
-                    seen.clear()
-                for a in own:
-                    lo = max(0, a["place"] - (LENGTH - GRAM))
-                    ctx, at = raw[lo : a["place"] + LENGTH], a["place"] - lo
-                    if len(ctx) < LENGTH:
-                        continue
-                    key = hashlib.blake2b(ctx, digest_size=16, key=at.to_bytes(2, "big")).digest()
-                    first = seen.get(key)
-                    if first is None:
-                        seen[key] = [unit, lo, False]
-                        out.append((a["hash"], unit, lo, ctx, False, at))
-                    elif (first[0], first[1]) != (unit, lo):
-                        surely(unit, lo, len(ctx))
-                        if not first[2]:
-                            first[2] = True
-                            surely(first[0], first[1], len(ctx))
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.int32())
+                if hashlib.sha256(raw).digest() == sha:
+                    out.extend((s["name"], s["tile"], s["tiles"], row, s["start"], raw[s["start"] : s["start"] + s["n"] + LENGTH - 1], s["twice"]) for s in own)
             for i in range(0, len(out), 4096):
-                cols = zip(*out[i : i + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hash", "unit", "start", "bytes", "sure", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 4096], strict=True), kinds, strict=True)], ["name", "tile", "tiles", "row", "start", "bytes", "twice"])
 
-    return rows.mapInArrow(run, schema)
+    return _with_text(docs, wanted).select("text", "sha", "row", "own").mapInArrow(run, "name long, tile int, tiles int, row long, start int, bytes binary, twice boolean")
 
 
-def _may_repeat(variants: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    """Of the surroundings (anchor's place, bytes) of one anchor those that can share a string with another.
+def _shard(batches):
+    """Intervals (``row``, ``lo``, ``hi``) from the segments of whole names or tiles; about ``SHARD_BYTES`` are sorted at once.
 
-    A string of ``LENGTH`` bytes that holds the anchor also holds either the bytes up to HALF before
-    it or those up to HALF behind it, whole.
+    Rows with a ``digest`` (and a null ``hi``) are strings of names dealt to several tiles: each string that the tile holds once
+    with its place, each other one without.
     """
-    half = (LENGTH - GRAM) // 2
-    before = [ctx[at - half : at + GRAM] if at >= half else None for at, ctx in variants]
-    behind = [ctx[at : at + GRAM + half] if len(ctx) >= at + GRAM + half else None for at, ctx in variants]
-    n_before, n_behind = Counter(before), Counter(behind)
-    return [v for v, x, y in zip(variants, before, behind, strict=True) if x is not None and n_before[x] > 1 or y is not None and n_behind[y] > 1]
-
-
-def _shard(batches):
-    """Intervals (``unit``, ``lo``, ``hi``) from the surroundings of whole anchors; about ``SHARD_BYTES`` are sorted at once."""
-    numbers: dict[bytes, int] = {}
-    held: list[tuple[bytes, tuple]] = []
+    held: list[tuple] = []
     out: list[tuple] = []
     size = 0
 
     def sort() -> None:
         nonlocal size
-        keys = np.array([(numbers.setdefault(own[1], len(numbers)) << 32) + own[2] for _, own in held], np.int64)
-        for (_, own), starts in zip(held, repeats([c for c, _ in held], keys), strict=True):
-            if not own[4]:
-                out.extend((own[1], own[2] + a, own[2] + b) for a, b in spans_of(starts))
+        for (_, _, tiles, row, start, raw, twice), (starts, first) in zip(held, repeats([r[5] for r in held]), strict=True):
+            if not twice:
+                out.extend((row, start + a, start + b, None) for a, b in spans_of(starts))
+            if tiles > 1:
+                alone = set() if twice else {*first.tolist()} - {*starts.tolist()}
+                for i in first.tolist():
+                    own = hashlib.blake2b(raw[i : i + LENGTH], digest_size=16).digest()
+                    out.append((row, start + i, None, own) if i in alone else (None, None, None, own))
         held.clear()
-        numbers.clear()
         size = 0
 
     def emit():
         for i in range(0, len(out), 8192):
-            u, a, b = zip(*out[i : i + 8192], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["unit", "lo", "hi"])
+            cols = zip(*out[i : i + 8192], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["row", "lo", "hi", "digest"])
         out.clear()
 
-    def close(same: dict[tuple[int, bytes], list]) -> None:
-        nonlocal size
-        if len(same) < 2 or all(v[2] for v in same.values()):
-            return  # an anchor with one kind of surroundings has nothing to be sorted against
-        near = _may_repeat(list(same))
-        if all(same[v][2] for v in near):
-            return
-        for v in near:
-            held.append((v[1], (None, *same[v][:2], None, same[v][2])))
-            size += len(v[1])
-        if size > SHARD_BYTES:
-            sort()
-
-    last, same = None, {}
+    last = None
     for b in batches:
-        for h, unit, start, ctx, _, at in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            if h != last:
-                close(same)
-                last, same = h, {}
-            first = same.setdefault((at, ctx), [unit, start, False])
-            if (first[0], first[1]) != (unit, start):
-                out.append((unit, start, start + len(ctx)))
-                if not first[2]:
-                    first[2] = True
-                    out.append((first[0], first[1], first[1] + len(ctx)))
-        if len(out) > 20_000:
-            yield from emit()
-    close(same)
+        for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            if r[:2] != last and size > SHARD_BYTES:
+                sort()
+                yield from emit()
+            last = r[:2]
+            held.append(r)
+            size += len(r[5])
     if held:
         sort()
-    yield from emit()
+        yield from emit()
 
 
 def intervals(docs: DataFrame, base: DataFrame, parts: int) -> DataFrame:
-    """``unit``, ``spans`` (sorted, merged) of units that hold repeats."""
+    """``row``, ``lo``, ``hi`` that cover the repeated strings of each row with segments."""
     spark = docs.sparkSession
-    repeated = stored(spark, _repeated_anchors(base, parts), "suffix-anchors")
-    around = stored(spark, _surroundings(docs, base, repeated), "suffix-around")
-    sure = around.where("hash is null").select("unit", F.col("start").alias("lo"), (F.col("start") + F.conv(F.hex("bytes"), 16, 10).cast("int")).alias("hi"))
-    found = around.where("hash is not null").repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(_shard, "unit binary, lo int, hi int")
-    return found.unionByName(sure).groupBy("unit").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    every = base.select("row", F.inline("segments"))
+    # Per name one row a task: whether two segments bear it, and segments of different bytes.
+    names = every.groupBy("name").agg(F.count("*").alias("m"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("tied").alias("t")).where("m > 1 or t")
+    live = stored(spark, every.join(names.select("name", F.expr("lo <> hi or t").alias("mixed")).hint("merge"), "name"), "suffix-live")
+    kinds = stored(spark, live.groupBy("name", "content").agg(F.count("*").alias("m"), F.max("mixed").alias("mixed"), F.min(F.struct("row", "start", "n")).alias("at")), "suffix-kinds")
+    whole = live.join(kinds.where("m > 1").select("name", "content").hint("merge"), ["name", "content"]).select("row", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("hi"))
+    mixed = kinds.where("mixed")
+    tiles = mixed.groupBy("name").agg(F.ceil(F.sum(F.col("at.n") + LENGTH) / TILE_BYTES).cast("int").alias("tiles"))
+    dealt = mixed.join(tiles.hint("merge"), "name").withColumn("tile", F.pmod(F.xxhash64("content"), F.col("tiles")).cast("int"))
+    own = dealt.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("name", "tile", "tiles", F.col("at.start").alias("start"), F.col("at.n").alias("n"), (F.col("m") > 1).alias("twice"))).alias("own"))
+    wanted = stored(spark, own.hint("merge").join(base.select("row", "key", "sha"), "row"), "suffix-wanted")
+    sorted_ = _bytes_of(docs, wanted).repartition(parts, "name", "tile").sortWithinPartitions("name", "tile").mapInArrow(_shard, "row long, lo int, hi int, digest binary")
+    found = stored(spark, sorted_, "suffix-found")
+    shared = found.where("digest is not null").groupBy("digest").agg(F.count("*").alias("m")).where("m > 1").select("digest")
+    across = found.where("row is not null").join(shared.hint("merge"), "digest").select("row", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    out = stored(spark, found.where("hi is not null").select("row", "lo", "hi").unionByName(whole).unionByName(across), "suffix-intervals")
+    spent(live, kinds, wanted, found)
+    return out
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -450,24 +389,27 @@ def report(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     parts = shuffle_partitions(spark)
     base = stored(spark, units(docs), "suffix-units")
-    twice = base.groupBy("unit").agg(F.count("*").alias("copies"))
-    spans = stored(spark, intervals(docs, base, parts).join(base.where("hashes is not null").groupBy("unit").agg(F.min("doc_id").alias("doc_id")), "unit").join(twice.where("copies = 1").select("unit"), "unit", "left_semi"), "suffix-spans")
-    rows = _texts_of(docs, spans).join(spans.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("key"), "unit", "spans"), "key").select("unit", "text", "spans")
+    copies = base.groupBy("sha").agg(F.count("*").alias("copies"))
+    rows = stored(spark, base.select("row", "key", "doc_id", "sha", "n_bytes").join(copies.hint("merge"), "sha"), "suffix-rows")
+    covered = intervals(docs, base, parts)
+    spans = covered.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    wanted = stored(spark, spans.hint("merge").join(rows.where("copies = 1").select("row", "key", "sha"), "row"), "suffix-spans")
+    spent(base, covered)
 
     def run(batches):
         for b in batches:
             out = []
-            for unit, t, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for t, sha, row, own in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = (t or "").encode("utf-8", "replace")
-                if hashlib.sha256(raw).digest()[:16] == unit:
+                if hashlib.sha256(raw).digest() == sha:
                     left, gone, runs = cut(raw, [(s["lo"], s["hi"]) for s in own])
-                    out.append((unit, gone, runs, hashlib.sha256(left).hexdigest()))
+                    out.append((row, gone, runs, hashlib.sha256(left).digest()))
             cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["unit", "gone", "runs", "left_sha"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["row", "gone", "runs", "left_sha"])
 
-    done = rows.mapInArrow(run, "unit binary, gone long, runs long, left_sha string")
-    out = base.select("doc_id", "unit", "n_bytes", "sha").join(twice, "unit").join(done, "unit", "left")
+    done = _with_text(docs, wanted).select("text", "sha", "row", "spans").mapInArrow(run, "row long, gone long, runs long, left_sha binary")
+    out = rows.join(done.hint("merge"), "row", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    empty = hashlib.sha256(b"").hexdigest()
+    empty = F.lit(hashlib.sha256(b"").digest())
     pick = lambda a, b, c: F.when(whole, a).otherwise(F.coalesce(F.col(b), c))
-    return out.select("doc_id", "n_bytes", pick(F.col("n_bytes"), "gone", F.lit(0)).cast("long").alias("n_removed"), pick(F.lit(1), "runs", F.lit(0)).cast("long").alias("n_spans"), pick(F.lit(empty), "left_sha", F.col("sha")).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", pick(F.col("n_bytes"), "gone", F.lit(0)).cast("long").alias("n_removed"), pick(F.lit(1), "runs", F.lit(0)).cast("long").alias("n_spans"), F.lower(F.hex(pick(empty, "left_sha", F.col("sha")))).alias("kept_sha256"))

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS = 4
 KEYS_PER_BLOCK = 4  # 16 bits a key
-#: A filter of at most so many blocks (16 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_BLOCKS = 200_000
+#: A filter has at most so many blocks (16 bytes each), so it can always be broadcast; more keys only make it let more pass.
+MAX_BLOCKS = 1 << 20
 
 #: Verdict, host and path of the rules.
 RULES = (
@@ -94,19 +94,24 @@ def _one(bit: Column) -> Column:
 
 
 def bloom(listing: DataFrame) -> tuple[DataFrame, int]:
-    """Blocks of the filter (``block``, ``bits``) and how many there can be."""
-    count = listing.count()
-    blocks = max(16, -(-count // KEYS_PER_BLOCK))
+    """Blocks of the filter (``block``, ``bits``) and how many there can be, ``MAX_BLOCKS`` at most."""
+    blocks = min(MAX_BLOCKS, max(16, -(-listing.count() // KEYS_PER_BLOCK)))
     return listing.select(block_of(F.col("key"), blocks).alias("block"), mask_of(F.col("key")).alias("own")).groupBy("block").agg(F.bit_or("own").alias("bits")), blocks
 
 
+def possible(rows: DataFrame, listing: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be one of ``listing`` (``key``, of the same type): none that is listed is lost, and nothing is shuffled."""
+    filter_, blocks = bloom(listing)
+    tested = rows.withColumns({"__block": block_of(F.col("key"), blocks), "__own": mask_of(F.col("key"))})
+    met = tested.join(F.broadcast(filter_.select(F.col("block").alias("__block"), F.col("bits").alias("__bits"))), "__block")
+    return met.where(F.col("__bits").bitwiseAND(F.col("__own")) == F.col("__own")).drop("__block", "__own", "__bits")
+
+
 def blocked_urls(urls: DataFrame, listing: DataFrame) -> DataFrame:
     """Distinct ``url`` of ``urls`` (``url``, ``host``, ``path``) that are listed, with the longest listed key."""
     listing = listing.where(F.col("key").isNotNull()).select("key").distinct()
-    filter_, blocks = bloom(listing)
-    tested = urls.select("url", F.explode(keys_of(F.col("host"), F.col("path"))).alias("key")).select("url", "key", block_of(F.col("key"), blocks).alias("block"), mask_of(F.col("key")).alias("own"))
-    possible = tested.join(F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_, "block").where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own"))
-    return possible.select("url", "key").join(listing, "key").groupBy("url").agg(F.max_by("key", F.struct(F.length("key"), "key")).alias("listed_key"))
+    passed = possible(urls.select("url", F.explode(keys_of(F.col("host"), F.col("path"))).alias("key")), listing)
+    return passed.join(listing, "key").groupBy("url").agg(F.max_by("key", F.struct(F.length("key"), "key")).alias("listed_key"))
 
 
 def judge(pages: DataFrame, listing: DataFrame, rules=RULES) -> DataFrame:

@@ -312,10 +312,39 @@ def removed_by_counting(texts):
     return out
 
 
-@pytest.mark.parametrize("shard", [2_000_000, 2_000])
-def test_suffix_dedup_equals_counting(spark, monkeypatch, shard):
+def test_permuted_prefixes():
+    rng = random.Random(2)
+    for _ in range(40):
+        t = np.array([*[rng.randrange(1, 3) for _ in range(rng.randrange(2, 120))], 0], np.uint16)
+        sa = suffix_dedup.suffix_array(t, 10**6)
+        at = np.arange(len(t) - 1)
+        rank = np.argsort(sa)
+        same = lambda a, b: next((k for k in range(len(t)) if max(a, b) + k >= len(t) or t[a + k] != t[b + k]), 0)
+        assert suffix_dedup.permuted_prefixes(t, sa, at, 9).tolist() == [min(9, same(i, sa[rank[i] - 1])) for i in at]
+
+
+def test_segments_name_equal_strings_alike():
+    rng = random.Random(3)
+    word = bytes(rng.randrange(97, 100) for _ in range(300))
+    raw = word + b"ab" * 200 + word[50:280] + b"x" * 300 + bytes(rng.randrange(97, 123) for _ in range(500)) + word
+    name, content, start, n, tied = suffix_dedup.segments(np.frombuffer(raw, np.uint8))
+    assert start[0] == 0 and (start[1:] == (start + n)[:-1]).all() and start[-1] + n[-1] == len(raw) - 199
+    owner = np.repeat(np.arange(len(name)), n)
+    seen = {}
+    for i in range(len(raw) - 199):
+        j = seen.setdefault(raw[i : i + 200], i)
+        assert name[owner[i]] == name[owner[j]] and (owner[i] != owner[j] or i == j or tied[owner[i]])
+    bodies = {(int(c), raw[s : s + k + 199]) for c, s, k in zip(content, start, n, strict=True)}
+    assert len({c for c, _ in bodies}) == len({r for _, r in bodies})
+
+
+@pytest.mark.parametrize(("shard", "tile"), [(2_000_000, 8_000_000), (2_000, 8_000_000), (2_000, 500)])
+def test_suffix_dedup_equals_counting(spark, monkeypatch, shard, tile):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "TILE_BYTES", tile)
     texts = corpus(7)
+    hot = " ".join(f"passage{i % 7}{i}" for i in range(40))
+    texts += [f"{k} begins so {hot} and ends {k * k} thus" for k in range(30)] + ["ab" * 400 + texts[0]]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(table(spark, texts).repartition(4)).collect()}
     assert got == removed_by_counting(texts)
 
