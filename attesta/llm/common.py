@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python; keeps a batch of long texts well under a worker's memory.
-BATCH_ROWS = 256
+#: Bytes of one Arrow batch sent to Python: a batch of long texts stays well under a worker's memory.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,11 +44,11 @@ def spent(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session (never raises a smaller setting)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the bytes of this session's Arrow batches (never raises a smaller setting)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if size(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

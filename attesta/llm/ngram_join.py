@@ -9,14 +9,16 @@ empty and links with nothing. Two documents link when 100 * |A and B| >= 80 * |A
    most a quarter of the smaller one's size, D elements, which touch at most D groups: so of the contents of the non-empty
    groups, taken in one fixed order (fullest first), the first D + 1 of both sets share one. These group contents are the exact
    blocking keys; larger groups come first since they are shared least by chance.
-3. In a block every set is first verified against one head only (the one it shares most blocks with), and links
-   give components. A group of near copies thus costs one comparison a copy.
-4. Blocks that still hold several components are searched by an R-tree over group-count vectors
-   (``GROUPS`` coordinates, hashing elements): a node's upper corner bounds the overlap by the sum of
-   coordinate minima; nodes and points that cannot reach the overlap a link needs are pruned. Components that
+   A set that fills too few groups for that (beyond six standard deviations) is held against all sets of fitting size.
+3. Of the blocks a set is in, it first goes to the head (smallest identifier) it shares most of them with; many
+   sets at one head are dealt to several tasks, each with the head. Where sets meet, an R-tree over their group-count vectors
+   (hashing elements) proposes pairs: a node's upper corner bounds the overlap by the sum of coordinate
+   minima, and nodes and points that cannot reach the overlap a link needs are pruned. Surviving pairs that nothing joins yet are
+   verified on the sets themselves, and links give components: a group of near copies costs about one comparison a copy.
+4. Blocks that still hold several components are searched by the R-tree once more, on stored vectors of ``GROUPS``
+   coordinates; of blocks of the same documents one is enough. Components that
    survive together form a canopy, of which a task reports a spanning forest, not all pairs. The sets of
-   a canopy's documents then meet (large canopies and blocks as pairs of tiles), are searched by an R-tree again, and
-   pairs not yet joined are verified on the sets themselves.
+   a canopy's documents then meet (large canopies and blocks as pairs of tiles) as in 3.
 5. Components come from alternating star contraction over the links, written to the shared folder each round.
 
 No block, candidate list or component is capped. Rows with a null identifier link with nothing and get a null component;
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import shuffle_partitions, small_batches, stored
+from attesta.llm.common import shuffle_partitions, small_batches, spent, stored
 from attesta.llm.url_filter import possible
 
 SHINGLE = 5
@@ -108,11 +110,11 @@ def size_classes(n: int) -> list[int]:
     return [own] if least.bit_length() - 1 == own else [own - 1, own]
 
 
-def blocking_keys(s: np.ndarray) -> np.ndarray:
-    """The group contents (hashed) under which a set meets every set it links with."""
-    n, out = len(s), []
+def blocking_keys(s: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The group contents (hashed) under which a set meets every set it links with, and whether it fills too few groups for that to hold."""
+    n, out, few = len(s), [], False
     if not n:
-        return s
+        return s, few
     limit = n * (DEN - NUM) // NUM  # most elements in which a linked set can differ
     for k in size_classes(n):
         tag = np.uint64((k * 0x2545F4914F6CDD1D + 0x1234567) & (2**64 - 1))
@@ -129,12 +131,19 @@ def blocking_keys(s: np.ndarray) -> np.ndarray:
         if len(keys) > limit + 1:
             best = np.lexsort((keys, -counts))[: limit + 1]
             keys = keys[best]
+        elif len(keys) <= limit:
+            few = True
         out.append(keys)
-    return np.concatenate(out)
+    return np.concatenate(out), few
+
+
+def groups_for(least: int) -> int:
+    """Coordinates that keep the bound sharp for sets of ``least`` elements and more: unrelated large sets would fill few coordinates alike."""
+    return GROUPS << max(0, min(6, (least // (8 * GROUPS)).bit_length()))
 
 
 def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.minimum(np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups), 65535).astype("<u2")
+    return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4")
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int):
@@ -143,58 +152,70 @@ def needed(n: np.ndarray | int, m: np.ndarray | int):
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n``, ``print`` (of the set) and, for the first of equal sets in a task, ``keys`` and ``counts``."""
-    schema = "doc_id long, n long, print binary, keys array<long>, counts binary"
+    """``doc_id``, ``n``, ``print`` (of the set) and, for the first of equal sets in a task, ``keys``, ``few`` and ``counts``."""
+    schema = "doc_id long, n long, print binary, keys array<long>, few boolean, counts binary"
 
     def run(batches):
         seen: set[bytes] = set()
         for b in batches:
-            n, prints, keys, counts = [], [], [], []
+            rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t)
                 p = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                fresh = p is not None and d is not None and p not in seen
-                if fresh:
+                if p is None or d is None or p in seen:
+                    rows.append((len(s), p, None, None, None))
+                else:
                     seen.add(p)
-                n.append(len(s))
-                prints.append(p)
-                keys.append(blocking_keys(s).view(np.int64) if fresh else None)
-                counts.append(count_vector(s).tobytes() if fresh else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "n", "print", "keys", "counts"])
+                    keys, few = blocking_keys(s)
+                    rows.append((len(s), p, keys.view(np.int64), few, count_vector(s).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "print", "keys", "few", "counts"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
-def _whole(batches, columns: int) -> list[np.ndarray]:
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for b in batches_] for batches_ in [list(batches)] for i in range(columns)]
-    return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
-
-
 def _blocks(base: DataFrame, parts: int) -> DataFrame:
     """``key``, ``doc_id``, ``head`` of every key that at least two sets share; ``head`` is the smallest identifier of the block."""
-    rows = base.where("keys is not null").select(F.explode("keys").alias("key"), "doc_id").repartition(parts, "key")
+    rows = base.select(F.explode("keys").alias("key"), "doc_id").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
 
     def run(batches):
-        key, doc = _whole(batches, 2)
-        if not len(key):
-            return
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        head = np.flatnonzero(first)
-        size = np.diff(np.append(head, len(key)))
-        keep = np.repeat(size > 1, size)
-        heads = np.repeat(doc[head], size)
-        for i in range(0, int(keep.sum()), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep][i : i + 50_000]) for x in (key, doc, heads)], ["key", "doc_id", "head"])
+        # Of the block that the last batch ended in: its key, its head, and whether only the head has been seen.
+        at, head, alone = None, None, False
+        for b in batches:
+            key, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            heads, shared = doc[first], size > 1
+            if at is not None and key[0] == at:
+                heads[0], shared[0] = head, True
+                if alone:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (at, head, head)], ["key", "doc_id", "head"])
+            at, head, alone = key[-1], heads[-1], not shared[-1]
+            keep = np.repeat(shared, size)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, doc, np.repeat(heads, size))], ["key", "doc_id", "head"])
 
     return rows.mapInArrow(run, "key long, doc_id long, head long")
 
 
+def _unblocked(base: DataFrame) -> DataFrame | None:
+    """Pairs (``a``, ``b``) of the sets for which group contents promise nothing, and all that by their sizes can link with them."""
+    few = base.where("few").select(F.col("doc_id").alias("b"), F.col("n").alias("m"))
+    if few.isEmpty():
+        return None
+    # Sizes of linked sets lie in one class or in neighbouring ones.
+    near = few.select("b", "m", F.explode(F.array(*[F.floor(F.log2("m")).cast("int") + d for d in (-1, 0, 1)])).alias("k"))
+    sized = base.where("keys is not null").select(F.col("doc_id").alias("a"), "n", F.floor(F.log2("n")).cast("int").alias("k"))
+    return sized.join(near.hint("merge"), "k").where((F.col("n") * DEN >= F.col("m") * NUM) & (F.col("m") * DEN >= F.col("n") * NUM) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+
+
 def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (stored; ``doc_id`` and more) with the ``text``; texts that cannot be wanted are left out before the exchange."""
     rows = docs.selectExpr("cast(doc_id as long) key", "cast(text as string) text").where("key is not null")
-    return possible(rows, wanted.select(F.col("doc_id").alias("key")).distinct()).withColumnRenamed("key", "doc_id").join(wanted, "doc_id")
+    return possible(rows, wanted.select(F.col("doc_id").alias("key")).distinct()).withColumnRenamed("key", "doc_id").hint("merge").join(wanted, "doc_id")
 
 
 def links_between(a: np.ndarray, b: np.ndarray) -> bool:
@@ -210,7 +231,7 @@ def links_between(a: np.ndarray, b: np.ndarray) -> bool:
 def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     """The rows of ``pairs`` (``a``, ``b``; distinct) whose sets link. A ``b`` with many partners is dealt to several tasks."""
     heads = pairs.groupBy("b").agg(F.ceil(F.count("*") / PROBES_PER_HEAD).cast("int").alias("salts"))
-    probes = pairs.join(heads, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("head"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    probes = pairs.join(heads.hint("merge"), "b").select(F.col("a").alias("doc_id"), F.col("b").alias("head"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     builds = heads.select(F.col("b").alias("doc_id"), F.col("b").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     roles = stored(docs.sparkSession, probes.unionByName(builds).groupBy("doc_id").agg(F.collect_list(F.struct("head", "salt", "role")).alias("roles")), "ngram-roles")
 
@@ -224,21 +245,43 @@ def verify(docs: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     met = _with_text(docs, roles).select("doc_id", "text", "roles").mapInArrow(build, "head long, salt int, role int, doc_id long, s binary").repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", "role")
 
     def check(batches):
-        at, own = None, None
-        for b in batches:
-            a, h = [], []
-            for head, salt, role, doc, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                if role == 0:
-                    at, own = (head, salt), s
-                elif at == (head, salt) and links_between(own, s):
-                    a.append(doc)
-                    h.append(head)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(h, pa.int64())], ["a", "b"])
+        for rows in _groups(batches, 2, 5):
+            yield _forest([r[3] for r in rows], [np.frombuffer(r[4], np.uint64) for r in rows])
 
     return met.mapInArrow(check, "a long, b long")
 
 
+def _forest(names: list[int], sets_: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None) -> pa.RecordBatch:
+    """Links ``a``, ``b`` that span what links among sets (or between two sides of them): an R-tree proposes pairs, the sets decide.
+
+    Sets of one name are one, and pairs that are joined already are passed over. The first set is asked first, so that
+    a group of near copies costs about one comparison a copy.
+    """
+    every = np.arange(len(names))
+    left, right = every if left is None else left, every if right is None else right
+    joined, out = np.unique(names, return_inverse=True)[1], []
+    if len(left) and len(right):
+        n = np.array([len(s) for s in sets_], np.int64)
+        groups = groups_for(int(n.min()))
+        points = np.stack([count_vector(s, groups) for s in sets_])
+        for q, k in _proposed(points, n, joined, left, right):
+            if joined[q] != joined[k] and links_between(sets_[q], sets_[k]):
+                joined[joined == joined[k]] = joined[q]
+                out.append((names[q], names[k]))
+    cols = list(zip(*out, strict=True)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+
+def _proposed(points: np.ndarray, n: np.ndarray, joined: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Pairs of numbers that the tree proposes and that ``joined`` (which may change meanwhile) holds apart."""
+    tree = RTree(points[right], n[right])
+    for q in left:
+        if (joined[right] != joined[q]).any():
+            found = right[tree.search(points[q], int(n[q]))]
+            for k in found[joined[found] != joined[q]]:
+                yield q, k
+
+
 class RTree:
     """Packed R-tree of count vectors (upper corners only: the overlap bound needs no lower ones)."""
 
@@ -320,16 +363,20 @@ def _tiled(rows: DataFrame, group: str, *cols: str) -> DataFrame:
 
 
 def _mixed(blocks: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of the blocks that hold several components: ``key``, ``doc_id``, ``comp``, ``tiles``."""
-    placed = blocks.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    return placed.join(mixed, "key")
+    """Rows of the blocks that hold several components: ``key``, ``doc_id``, ``comp``, ``tiles``; of blocks of the same documents one is kept."""
+    placed = stored(blocks.sparkSession, blocks.select("key", "doc_id").join(comp.hint("merge"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "ngram-placed")
+    own = F.xxhash64("doc_id")
+    seen = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), F.min("doc_id").alias("z")).where("lo < hi")
+    mixed = seen.groupBy("m", "x", "y", "z").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    out = stored(blocks.sparkSession, placed.join(mixed.hint("merge"), "key"), "ngram-mixed")
+    spent(placed)
+    return out
 
 
 def _canopies(base: DataFrame, mixed: DataFrame, parts: int) -> DataFrame:
     """Pairs of components (``a``, ``b``) that the R-tree cannot keep apart: a spanning forest of each task's, which holds the same groups as all pairs would."""
-    points = base.where("counts is not null").select("doc_id", "n", "counts").dropDuplicates(["doc_id"])
-    dealt = _tiled(mixed.join(points, "doc_id"), "key", "doc_id", "comp", "n", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    points = base.where("counts is not null").select("doc_id", "n", "counts").distinct()
+    dealt = _tiled(mixed.join(points.hint("merge"), "doc_id"), "key", "doc_id", "comp", "n", "counts").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
         near, out = Union(), []
@@ -337,15 +384,15 @@ def _canopies(base: DataFrame, mixed: DataFrame, parts: int) -> DataFrame:
             comps = [r[5] for r in rows]
             if len({near.find(c) for c in set(comps)}) < 2:
                 continue
-            n, points_ = np.array([r[6] for r in rows], np.int64), np.stack([np.frombuffer(r[7], "<u2") for r in rows])
+            n, points_ = np.array([r[6] for r in rows], np.int64), np.stack([np.frombuffer(r[7], "<u4") for r in rows])
             left, right = _sides(np.array([r[3] for r in rows]), rows[0][1], rows[0][2])
             if not len(left) or not len(right):
                 continue
-            tree = RTree(points_[right], n[right])
-            for q in left:
-                for k in right[tree.search(points_[q], int(n[q]))]:
-                    if near.join(comps[q], comps[k]):
-                        out.append((comps[q], comps[k]))
+            joined = np.array([near.find(c) for c in comps], np.int64)
+            for q, k in _proposed(points_, n, joined, left, right):
+                if near.join(comps[q], comps[k]):
+                    joined[joined == joined[k]] = joined[q]
+                    out.append((comps[q], comps[k]))
         cols = list(zip(*out, strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
@@ -358,7 +405,7 @@ def _links_within(docs: DataFrame, members: DataFrame, parts: int) -> DataFrame:
     ``members``: ``doc_id``, ``comp``, ``canopy``. Each task returns a spanning forest of its links.
     """
     sizes = members.groupBy("canopy").agg(F.ceil(F.count("*") / CANOPY_TILE).cast("int").alias("tiles"))
-    wanted = stored(docs.sparkSession, members.join(sizes, "canopy"), "ngram-members")
+    wanted = stored(docs.sparkSession, members.join(sizes.hint("merge"), "canopy"), "ngram-members")
 
     def build(batches):
         for b in batches:
@@ -370,20 +417,7 @@ def _links_within(docs: DataFrame, members: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         for rows in _groups(batches, 3, 7):
-            joined, out = Union(), []
-            sets_ = [np.frombuffer(r[6], np.uint64) for r in rows]
-            n, points_ = np.array([len(s) for s in sets_], np.int64), np.stack([count_vector(s) for s in sets_])
-            left, right = _sides(np.array([r[3] for r in rows]), rows[0][1], rows[0][2])
-            if not len(left) or not len(right):
-                continue
-            tree = RTree(points_[right], n[right])
-            for q in left:
-                for k in right[tree.search(points_[q], int(n[q]))]:
-                    if joined.find(rows[q][5]) != joined.find(rows[k][5]) and links_between(sets_[q], sets_[k]):
-                        joined.join(rows[q][5], rows[k][5])
-                        out.append((rows[q][5], rows[k][5]))
-            cols = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+            yield _forest([r[5] for r in rows], [np.frombuffer(r[6], np.uint64) for r in rows], *_sides(np.array([r[3] for r in rows]), rows[0][1], rows[0][2]))
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -398,12 +432,15 @@ def connect(spark: SparkSession, links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct()
-        edges = stored(spark, small, "ngram-edges")
+        last, edges = edges, stored(spark, small, "ngram-edges")
+        spent(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
+    out = stored(spark, edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct()), "ngram-components")
+    spent(edges)
+    return out
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -415,17 +452,22 @@ def components(docs: DataFrame) -> DataFrame:
     classes = base.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
     blocks = stored(spark, _blocks(base, parts), "ngram-blocks")
     # Equal sets met in different tasks are linked without looking.
-    same = base.where("keys is not null").select("doc_id", "print").join(classes, "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = base.where("keys is not null").select("doc_id", "print").join(classes.hint("merge"), "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     stars = blocks.where("doc_id <> head").groupBy("doc_id", "head").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
-    links = stored(spark, verify(docs, stars.select(F.col("doc_id").alias("a"), F.col("head").alias("b")), parts).unionByName(same), "ngram-links")
+    pairs, more = stars.select(F.col("doc_id").alias("a"), F.col("head").alias("b")), _unblocked(base)
+    links = stored(spark, verify(docs, pairs.unionByName(more) if more else pairs, parts).unionByName(same), "ngram-links")
     comp = connect(spark, links)
-    mixed = stored(spark, _mixed(blocks, comp), "ngram-mixed")
+    mixed = _mixed(blocks, comp)
+    spent(blocks)
     near = stored(spark, _canopies(base, mixed, parts), "ngram-near")
     if not near.isEmpty():
         canopy = connect(spark, near).withColumnRenamed("doc_id", "comp_").withColumnRenamed("comp", "canopy")
-        members = mixed.select("doc_id", "comp").distinct().join(canopy, F.col("comp") == F.col("comp_")).select("doc_id", "comp", "canopy")
-        comp = connect(spark, links.unionByName(_links_within(docs, members, parts)))
-    out = base.select("doc_id", F.col("n").alias("n_shingles"), "print").join(classes, "print", "left").join(comp.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left")
+        members = mixed.select("doc_id", "comp").distinct().join(canopy.hint("merge"), F.col("comp") == F.col("comp_")).select("doc_id", "comp", "canopy")
+        more = stored(spark, links.unionByName(_links_within(docs, members, parts)), "ngram-links")
+        spent(comp, links)
+        comp, links = connect(spark, more), more
+    spent(near, mixed, links)
+    out = base.select("doc_id", F.col("n").alias("n_shingles"), "print").join(classes.hint("merge"), "print", "left").join(comp.select(F.col("doc_id").alias("rep"), "comp").hint("merge"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
 
 

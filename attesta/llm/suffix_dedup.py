@@ -302,8 +302,8 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _with_text(docs, wanted).select("text", "sha", "row", "own").mapInArrow(run, "name long, tile int, tiles int, row long, start int, bytes binary, twice boolean")
 
 
-def _shard(batches):
-    """Intervals (``row``, ``lo``, ``hi``) from the segments of whole names or tiles; about ``SHARD_BYTES`` are sorted at once.
+def _shard(batches, most: int):
+    """Intervals (``row``, ``lo``, ``hi``) from the segments of whole names or tiles; about ``most`` bytes are sorted at once.
 
     Rows with a ``digest`` (and a null ``hi``) are strings of names dealt to several tiles: each string that the tile holds once
     with its place, each other one without.
@@ -334,7 +334,7 @@ def _shard(batches):
     last = None
     for b in batches:
         for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-            if r[:2] != last and size > SHARD_BYTES:
+            if r[:2] != last and size > most:
                 sort()
                 yield from emit()
             last = r[:2]
@@ -347,7 +347,7 @@ def _shard(batches):
 
 def intervals(docs: DataFrame, base: DataFrame, parts: int) -> DataFrame:
     """``row``, ``lo``, ``hi`` that cover the repeated strings of each row with segments."""
-    spark = docs.sparkSession
+    spark, most = docs.sparkSession, SHARD_BYTES
     every = base.select("row", F.inline("segments"))
     # Per name one row a task: whether two segments bear it, and segments of different bytes.
     names = every.groupBy("name").agg(F.count("*").alias("m"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("tied").alias("t")).where("m > 1 or t")
@@ -359,7 +359,7 @@ def intervals(docs: DataFrame, base: DataFrame, parts: int) -> DataFrame:
     dealt = mixed.join(tiles.hint("merge"), "name").withColumn("tile", F.pmod(F.xxhash64("content"), F.col("tiles")).cast("int"))
     own = dealt.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("name", "tile", "tiles", F.col("at.start").alias("start"), F.col("at.n").alias("n"), (F.col("m") > 1).alias("twice"))).alias("own"))
     wanted = stored(spark, own.hint("merge").join(base.select("row", "key", "sha"), "row"), "suffix-wanted")
-    sorted_ = _bytes_of(docs, wanted).repartition(parts, "name", "tile").sortWithinPartitions("name", "tile").mapInArrow(_shard, "row long, lo int, hi int, digest binary")
+    sorted_ = _bytes_of(docs, wanted).repartition(parts, "name", "tile").sortWithinPartitions("name", "tile").mapInArrow(lambda batches: _shard(batches, most), "row long, lo int, hi int, digest binary")
     found = stored(spark, sorted_, "suffix-found")
     shared = found.where("digest is not null").groupBy("digest").agg(F.count("*").alias("m")).where("m > 1").select("digest")
     across = found.where("row is not null").join(shared.hint("merge"), "digest").select("row", "lo", (F.col("lo") + LENGTH).alias("hi"))
