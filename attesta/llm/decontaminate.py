@@ -10,7 +10,9 @@ a pass of its own over the same documents; rows are numbered first, and the mark
 anything is judged or cut. In a worker, a document is reduced to word numbers;
 stretches in which two neighbouring words never stand side by side in an item cannot hold a window
 and are skipped; the others stream through the automaton, which keeps the longest match ending at
-each word.
+each word and the state it leads to. The states that windows lead to carry the items they belong to, so a window is found by
+climbing from a state to that of its last ``WINDOW`` words. Spark ships an automaton to the workers once, as a broadcast; ``SHARD_WORDS``
+bounds it.
 
 Null and empty texts have no words, no hits and are clean. Items without words have no window.
 Repeated items are told apart by ``item_id``; items without one still mark words but are not listed.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from attesta.llm.common import small_batches, stored
 
 WINDOW = 13
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 #: A document is contaminated when ``COVERAGE`` times its hit words reach its words.
 COVERAGE = 20
 
@@ -43,7 +45,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; ``match`` yields the longest match ending at each position."""
+    """Suffix automaton of several word sequences; ``match`` yields the state and the size of the longest match ending at each position."""
 
     def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
@@ -94,7 +96,13 @@ class Automaton:
             if c in nxt[state]:
                 state = nxt[state][c]
                 size += 1
-            yield size
+            yield state, size
+
+    def shorter(self, state: int, size: int) -> int:
+        """The state of the last ``size`` words of what led to ``state``."""
+        while self.len[self.link[state]] >= size:
+            state = self.link[state]
+        return state
 
 
 class Index:
@@ -103,23 +111,26 @@ class Index:
     def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int) -> None:
         self.vocab: dict[bytes, int] = {}
         self.window, self.automaton = window, Automaton()
-        self.owners: dict[tuple, list] = {}
-        pairs, self.lengths = set(), set()
+        pairs, lengths, seqs = set(), set(), []
         for item, words in items:
             if not words:
                 continue
             seq = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
             self.automaton.add(seq)
             pairs.update(zip(seq, seq[1:], strict=False))
+            seqs.append((item, seq))
+            lengths.add(min(window, len(seq)))
+        #: Items by the state and size of their windows.
+        self.owners: dict[tuple[int, int], list] = {}
+        for item, seq in seqs:
             size = min(window, len(seq))
-            self.lengths.add(size)
-            for i in range(len(seq) - size + 1):
-                own = self.owners.setdefault(tuple(seq[i : i + size]), [])
+            for state, _ in list(self.automaton.match(seq))[size - 1 :]:
+                own = self.owners.setdefault((self.automaton.shorter(state, size), size), [])
                 if item is not None and item not in own:
                     own.append(item)
         self.width = max(1, len(self.vocab))
         self.pairs = np.array(sorted(a * self.width + b for a, b in pairs), np.int64)
-        self.order = sorted(self.lengths)
+        self.order = sorted(lengths)
 
     def hits(self, words: list[bytes]) -> tuple[list[int], list]:
         """Positions of hit words and the items whose windows occur."""
@@ -139,13 +150,14 @@ class Index:
         marked, items = set(), set()
         for lo, hi in runs:
             seq = ids[lo:hi].tolist()
-            for i, size in enumerate(self.automaton.match(seq)):
+            for i, (state, size) in enumerate(self.automaton.match(seq)):
                 if size < least:
                     continue
-                for n in self.order:
+                for n in reversed(self.order):
                     if n > size:
-                        break
-                    own = self.owners.get(tuple(seq[i - n + 1 : i + 1]))
+                        continue
+                    state = self.automaton.shorter(state, n)
+                    own = self.owners.get((state, n))
                     if own is not None:
                         marked.update(range(lo + i - n + 1, lo + i + 1))
                         items.update(own)

@@ -9,8 +9,9 @@ author marked them. Stop words are known of four languages: a page that hardly h
 written in Latin letters, is classified by length and link density alone. Pass two gives ambiguous short blocks the label of the nearest decided neighbours
 (good when both sides are good, or when the nearer side is).
 
-Null and empty pages give an empty text. Text between a stray ``<`` and the next tag stays text.
-Repeated pages are independent.
+Null and empty pages give an empty text. Text between a stray ``<`` and the next tag stays text. A region
+whose end tag is missing ends with what surrounds it, or where an article begins. A short block as near to a good
+neighbour as to a bad one goes with the one before it. Repeated pages are independent. The scan is linear in the page.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ STOP_WORDS = frozenset(
     "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont ou avec son aux d l cette ont ses mais comme on tout nous sa fait été aussi leur bien peut ces y deux elle "
     "el que y a los se del las por con para una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[A-Za-z][A-Za-z0-9:-]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+_MARK = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[A-Za-z])")
+_STOP = re.compile(r"[>\"']")
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"\w+")
@@ -64,6 +66,9 @@ _JUNK_ID = re.compile(
 _JUNK_INSIDE = frozenset(
     "ad ads advert advertisement advertising adsbygoogle adsense ad-slot ad-container ad-banner banner-ad sponsored promo cookie-notice cookie-banner newsletter newsletter-signup subscribe sidebar nav navbar navigation breadcrumb breadcrumbs share share-buttons sharing social-share social-links related-posts related-articles comments comments-area comment-list disqus respond pagination pager".split()
 )
+#: Elements that end with what surrounds them where their end tag is missing, and those in which a beginning article shows that it is.
+_REGIONS = {"nav", "header", "footer", "aside", "form", "menu", "div", "section", "dialog"}
+_WITHOUT_ARTICLE = {"nav", "header", "form", "menu", "head"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements whose end tag may be left out: the start tags that end them, and the containers inside which those do not.
 _CELL = ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"})
@@ -110,17 +115,46 @@ def _junk(name: str, tag: str, in_article: bool) -> bool:
     return False
 
 
-def _ends(skip: str, inside: dict[str, int], name: str, closing: bool) -> bool:
-    """Whether a tag ends the skipped element without being its end tag: the next sibling's start, or the end of what surrounds it."""
+def _ends(skip: str, inside: dict[str, int], around: dict[str, int], name: str, closing: bool) -> bool:
+    """Whether a tag ends the skipped element without being its end tag: the next sibling's start, the end of what surrounds it, or an article in what cannot hold one.
+
+    ``inside``, ``around``: open elements in the skipped one and around it.
+    """
     if closing:
-        return name != skip and inside.get(name, 0) <= 0 and (name in {"article", "main"} or skip in _IMPLIED and name != "p" and name not in _INLINE and name not in _VOID)
+        outer = name in {"article", "main"} or around.get(name, 0) > 0 and (skip in _REGIONS or skip in _IMPLIED)
+        return name != skip and inside.get(name, 0) <= 0 and name not in {"p", "html", "body"} and name not in _INLINE and name not in _VOID and (outer or skip in _IMPLIED)
+    if skip in _WITHOUT_ARTICLE and name in {"article", "main"} and not around.get("article", 0) or skip == "head" and name == "body":
+        return True
     return skip in _IMPLIED and name in _IMPLIED[skip][0] and not any(inside.get(c, 0) > 0 for c in _IMPLIED[skip][1])
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
-    """(text, in article, heading, link density) of each block outside skipped regions, in page order."""
+def _next_mark(page: str, pos: int, last: dict[str, int]) -> tuple[int, int] | None:
+    """Bounds of the next tag, comment or declaration. ``last``: the last place of each sign that can end one, so that none is sought in vain.
+
+    A quote that never closes does not count as one; a tag without an end is text.
+    """
+    while m := _MARK.search(page, pos):
+        at, kind = m.start(), m[0]
+        if kind in {"<!--", "<![CDATA["}:
+            end = page.find("-->" if kind == "<!--" else "]]>", m.end())
+            return at, end + 3 if end >= 0 else len(page)
+        if last[">"] < at:
+            return None
+        pos = m.end()
+        if kind not in {"<!", "<?"}:
+            while (s := _STOP.search(page, pos)) and s[0] != ">" and last[s[0]] > s.start():
+                pos = page.index(s[0], s.end()) + 1
+            if s and s[0] == ">":
+                return at, s.end()
+        return at, page.index(">", m.end()) + 1
+    return None
+
+
+def blocks(page: str, forms: bool = False) -> list[tuple[str, bool, bool, float]]:
+    """(text, in article, heading, link density) of each block outside skipped regions, in page order; with ``forms``, what stands in forms counts too."""
     out, cur, pos = [], _Block("", False), 0
-    skip, depth, main, links, inside = "", 0, 0, 0, {}
+    skip, depth, main, links, inside, around = "", 0, 0, 0, {}, {}
+    last = {c: page.rfind(c) for c in ">\"'"}
 
     def close(tag: str) -> None:
         nonlocal cur
@@ -136,10 +170,10 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
         if links:
             cur.linked += len(text.strip())
 
-    while m := _TOKEN.search(page, pos):
-        tag = m[0]
-        add(page[pos : m.start()])
-        pos = m.end()
+    while m := _next_mark(page, pos, last):
+        tag = page[m[0] : m[1]]
+        add(page[pos : m[0]])
+        pos = m[1]
         name_m = _NAME.match(tag)
         if not name_m:
             continue
@@ -151,7 +185,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
             end = _VERBATIM[name].search(page, pos)
             pos = end.end() if end else len(page)
             continue
-        if skip and _ends(skip, inside, name, closing):
+        if skip and _ends(skip, inside, around, name, closing):
             skip = ""
         if skip:
             if name not in _INLINE and not void:
@@ -161,11 +195,13 @@ def blocks(page: str) -> list[tuple[str, bool, bool, float]]:
                 if depth == 0:
                     skip = ""
             continue
-        if not closing and not void and _junk(name, tag, main > 0):
+        if not closing and not void and not (forms and name == "form") and _junk(name, tag, main > 0):
             if name != "template":
                 close("")
             skip, depth, inside = name, 1, {}
             continue
+        if name not in _INLINE and not void:
+            around[name] = max(0, around.get(name, 0) + (-1 if closing else 1))
         if name == "a":
             links = max(0, links - 1) if closing else links + 1
         if name == "br":
@@ -200,7 +236,7 @@ def _foreign(text: str) -> bool:
 
 def _label(text: str, main: bool, heading: bool, link: float, stop: float, known: bool) -> str:
     if link > MAX_LINK_DENSITY:
-        return "bad"
+        return "short" if main else "bad"
     if "©" in text[:3] or re.match(r"(?i)copyright\b", text):
         return "bad" if not main else "short"
     size = _size(text)
@@ -220,10 +256,13 @@ def _known_language(found: list[tuple[str, bool, bool, float]], stops: list[floa
 
 
 def extract(page: str | None) -> str:
-    """The main text: kept blocks joined by one line feed."""
+    """The main text: kept blocks joined by one line feed. Where a form seems to hold all there is, it is read as part of the page."""
     if not page:
         return ""
-    found = blocks(page)
+    return _kept(blocks(page)) or (_kept(blocks(page, True)) if "<form" in page.lower() else "")
+
+
+def _kept(found: list[tuple[str, bool, bool, float]]) -> str:
     if any(b[1] for b in found):
         found = [b for b in found if b[1]]  # the author marked the article; what stands outside is not part of it
     stops = [_stop_density(b[0]) for b in found]

@@ -26,6 +26,8 @@ MIN_WINDOW_COSINE = 0.8
 NAME_WORDS = 12
 CUE = r"(?i)licen[cs]e|copyright|spdx|all rights reserved|public domain"
 _WORD = "[a-z0-9.+-]*[a-z0-9]"
+#: The same words, found in one step each: a run of these signs holds one word, which begins with it.
+_WORD_AT_ONCE = "(?<![a-z0-9.+-])(?:[.+-]*+[a-z0-9]++)++"
 
 #: Short notices by licence, as commonly written.
 TEMPLATES = (
@@ -71,7 +73,7 @@ PASSAGES = (
     ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 )
-_PLAIN_WORD = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+_PLAIN_WORD = "[a-z0-9]++(?:[.+-][a-z0-9]++)*+"
 _ANCHOR = "^(?:licen[cs]e[ds]?|copyright|domain)$"
 _SPDX = r"(?i)spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+(?:[ \t]+(?:and|or|with)[ \t]+[a-z0-9.+-]+)*)"
 
@@ -81,7 +83,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD_AT_ONCE), F.lit(0))
 
 
 def notice(text: Column) -> Column:

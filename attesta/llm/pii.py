@@ -150,7 +150,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         for start, end in _emails(text):
             add("email", start, end, False)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             add("ip", m.start(), m.end(), True)
     for m in _CARD.finditer(text):
         if 13 <= m.end() - m.start() and 13 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):

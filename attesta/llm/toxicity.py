@@ -38,6 +38,14 @@ THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words, as many and at the same places as in the text itself (lower-casing may lengthen it)."""
+    if not text:
+        return []
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+
+
 def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}^" for k in PREFIXES if len(word) >= k)]
 
@@ -64,7 +72,7 @@ class _Evidence:
         return self.model.bias + sum(w.get(f, 0.0) for f in features(word))
 
     def chain(self, text: str | None) -> np.ndarray:
-        words, keys = _WORD.findall(text.lower()) if text else [], self.keys
+        words, keys = words_of(text), self.keys
         out = np.full(len(words), self.model.bias)
         for i in [i for i, w in enumerate(words) if w[:4] in keys]:
             out[i] = self.of(words[i])
@@ -200,7 +208,7 @@ def fit(rows: list[tuple[str | None, int]], steps: int = 50, l2: float = 2e-4) -
     """Fit from (text, label) rows; an empty model when a class is missing. Of near copies one teaches words."""
     docs = {}
     for t, y in rows:
-        words = _WORD.findall((t or "").lower())
+        words = words_of(t)
         docs.setdefault((_sketch(words), int(y)), (words, int(y)))
     docs = list(docs.values())
     n = Counter(y for _, y in docs)
@@ -342,7 +350,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, spans: b
                         found.append([])
                         continue
                     words = [m.span() for m in _WORD.finditer(t)]
-                    found.append([{"start": words[i][0], "end": words[i][1], "p": float(own[i])} for i in hot if i < len(words)])
+                    found.append([{"start": words[i][0], "end": words[i][1], "p": float(own[i])} for i in hot])
                 cols.append(pa.array(found, span_type))
             yield pa.RecordBatch.from_arrays(cols, [*keep, "score", "expected", *(["toxic_spans"] if spans else [])])
 

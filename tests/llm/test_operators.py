@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -454,6 +456,85 @@ def test_html_extract_keeps_what_only_sounds_like_layout():
         assert html_extract.extract(f"<article><p>{good}</p>{h}</article>") == good, h
 
 
+def test_html_extract_of_missing_ends_and_wrapping_forms():
+    good = "The quick brown fox was in the house and it is not what they were all about, said the man who had been there for years and years."
+    for page in (
+        f"<body><nav><a href=/>Home</a><article><p>{good}</p></article>", f"<body><div><nav><a href=/>Home</a></div><div><p>{good * 2}</p></div>", f"<div><aside>Ad</div><article><p>{good}</p></article>",
+        f"<head><title>t</title><body><article><p>{good}</p></article>", f"<form id=aspnetForm><input><article><p>{good}</p></article></form>", f"<body><form><p>{good * 2}</p></form></body>",
+    ):
+        assert html_extract.extract(page) in {good, good * 2}, page
+    links = f"<article><p>{good}</p><p><a href=1>One link</a> and <a href=2>another link</a></p><p>{good}</p></article>"
+    assert html_extract.extract(links) == f"{good}\nOne link and another link\n{good}"
+    assert html_extract.extract(f"<article><p>{good}</p><p title='a>b' lang=\"x\">1 < 2 <b>and</b> 3 > 2</p><p>it's <a title=\"o>open</p></article>") == f"{good}\n1 < 2 and 3 > 2\nit's open"
+
+
+def test_scans_take_linear_time():
+    began = time.process_time()
+    for page in ("<a " * 100_000, '<a "' * 50_001, "<a '\"" * 50_001, "<!" * 100_000, "<p>" + "<" * 100_000, "<nav>" * 50_000, "<!-- " * 50_000 + ">", "<a \"'>" * 30_001):
+        html_extract.extract(page)
+    for text in ("0" * 5000 + "1.2.3.4", "1" * 200_000, "a@" * 50_000, "+" + "1 " * 100_000, "4" * 100_000 + "." * 100_000, "GB82" * 20_000):
+        pii.find(text)
+    assert pii.listing(pii.find("0" * 5000 + "1.2.3.4")) == "ip:0:5007"
+    assert time.process_time() - began < 20
+
+
+class Walk(HTMLParser):
+    """The article's blocks by walking the tree: a plain reading of pages whose regions are marked by their elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.out, self.cur = [], [], ""
+
+    def flush(self):
+        if t := " ".join(self.cur.split()):
+            self.out.append(t)
+        self.cur = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.cur += " "
+        if tag in html_extract._VOID:
+            return
+        if tag not in html_extract._INLINE:
+            self.flush()
+            if tag == "p" and "p" in self.path:
+                self.handle_endtag("p")
+        own = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+        self.path.append(tag if not re.search(r"^(ad|ads|promo|cookie-notice|share|comments|newsletter|related)$", own) else "aside")
+
+    def handle_endtag(self, tag):
+        if tag not in html_extract._INLINE:
+            self.flush()
+        for i in range(len(self.path) - 1, -1, -1):
+            if self.path[i] in (tag, "aside"):
+                del self.path[i:]
+                return
+
+    def handle_data(self, data):
+        if "article" in self.path and not {"aside", "nav", "script", "style", "form", "footer", "header"} & set(self.path[self.path.index("article") :]):
+            self.cur += data
+
+
+def test_html_extract_equals_a_walk_of_the_tree(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in Q.QUERIES["op8_html_extract"](spark, SF).collect()}
+    differ = []
+    for i, h in pages.items():
+        w = Walk()
+        w.feed(h or "")
+        w.close()
+        if got[i] != "\n".join(w.out):
+            differ.append(i)
+    assert len(pages) == len(got) and not differ
+
+
+def test_toxic_spans_are_places_in_the_text(spark):
+    model = toxicity.Model(weights={"scum": 9.0}, bias=-3.0, curve=(0.0, 1.0, 0.0, 0.0))
+    for text in ("you scum here", "xİx you scum here", "İİİ scum ﬁ SCUM"):
+        row = toxicity.score(table(spark, [text]), model).collect()[0]
+        assert [text[s.start : s.end].lower() for s in row.toxic_spans] == ["scum"] * text.lower().count("scum")
+
+
 def test_html_extract_of_languages_without_stop_words():
     russian = "Быстрая коричневая лиса перепрыгнула через ленивую собаку, и никто в деревне не удивился этому, потому что так бывало каждое утро."
     chinese = "敏捷的棕色狐狸跳过了懒狗，村里没有人对此感到惊讶，因为每天早晨都会发生这样的事情，人们早已习惯了这一切，只是笑着继续他们的工作。"
