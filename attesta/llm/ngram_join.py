@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm.common import shuffle_partitions, small_batches, spent, stored
-from attesta.llm.url_filter import possible
+from attesta.llm.url_filter import possible, without
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -449,7 +449,8 @@ def components(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     parts = shuffle_partitions(spark)
     base = stored(spark, sets(docs), "ngram-sets")
-    classes = base.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the joins by print exchange plain rows, of which Spark can split a hot one.
+    classes = stored(spark, base.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     blocks = stored(spark, _blocks(base, parts), "ngram-blocks")
     # Equal sets met in different tasks are linked without looking.
     same = base.where("keys is not null").select("doc_id", "print").join(classes.hint("merge"), "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -474,5 +475,4 @@ def components(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are not the first, by identifier, of their component."""
     found = components(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without(docs, found.where("component_id <> doc_id").select("doc_id"), {"doc_id": docs["doc_id"].cast("long")})

@@ -99,12 +99,29 @@ def bloom(listing: DataFrame) -> tuple[DataFrame, int]:
     return listing.select(block_of(F.col("key"), blocks).alias("block"), mask_of(F.col("key")).alias("own")).groupBy("block").agg(F.bit_or("own").alias("bits")), blocks
 
 
-def possible(rows: DataFrame, listing: DataFrame) -> DataFrame:
-    """The rows whose ``key`` may be one of ``listing`` (``key``, of the same type): none that is listed is lost, and nothing is shuffled."""
+def _tested(rows: DataFrame, key: Column, listing: DataFrame) -> DataFrame:
+    """``rows`` with ``__may``: false where ``key`` is surely none of ``listing`` (``key``, of the same type). Nothing is shuffled."""
     filter_, blocks = bloom(listing)
-    tested = rows.withColumns({"__block": block_of(F.col("key"), blocks), "__own": mask_of(F.col("key"))})
-    met = tested.join(F.broadcast(filter_.select(F.col("block").alias("__block"), F.col("bits").alias("__bits"))), "__block")
-    return met.where(F.col("__bits").bitwiseAND(F.col("__own")) == F.col("__own")).drop("__block", "__own", "__bits")
+    met = rows.withColumns({"__block": block_of(key, blocks), "__own": mask_of(key)}).join(F.broadcast(filter_.select(F.col("block").alias("__block"), F.col("bits").alias("__bits"))), "__block", "left")
+    return met.withColumn("__may", F.coalesce(F.col("__bits").bitwiseAND(F.col("__own")) == F.col("__own"), F.lit(False))).drop("__block", "__own", "__bits")
+
+
+def possible(rows: DataFrame, listing: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be one of ``listing``."""
+    return _tested(rows, F.col("key"), listing).where("__may").drop("__may")
+
+
+def without(docs: DataFrame, gone: DataFrame, names: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows for which ``names`` (by column of ``gone``, the first an identifier) are listed there; nulls are equal.
+
+    Only rows that may go, by a Bloom filter of the identifiers, travel to meet the list; all others pass where they are.
+    """
+    first = next(iter(names))
+    tested = _tested(docs, F.xxhash64(names[first]), gone.select(F.xxhash64(first).alias("key")).distinct())
+    stays = tested.where("not __may").drop("__may")
+    asked, listed = tested.where("__may").drop("__may"), gone.select(*(F.col(n).alias(f"__{n}") for n in names)).distinct()
+    same = [own.eqNullSafe(listed[f"__{n}"]) for n, own in names.items()]
+    return stays.unionByName(asked.join(listed, same, "left_anti"))
 
 
 def blocked_urls(urls: DataFrame, listing: DataFrame) -> DataFrame:

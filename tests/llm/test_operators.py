@@ -384,6 +384,26 @@ def test_exact_dedup_equals_grouping(spark, digest):
     assert got == groups_by_text(texts)
 
 
+def test_exact_dedup_state_outlives_the_stream(spark, tmp_path):
+    """What a first run has seen is looked up by a second one, which reads only what is new."""
+    def put(rows):
+        spark.createDataFrame(rows, "doc_id long, size int, digest string, locator string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/keys")
+        return {r.digest: (r.group_size, r.keep_id, r.keep_size, r.locator) for r in exact_dedup.stream_state(spark, f"{tmp_path}/keys", f"{tmp_path}/state").collect()}
+
+    assert put([(5, 3, "a", "f#0"), (6, 3, "a", "f#1"), (7, 1, "b", "f#2")]) == {"a": (2, 5, 3, "f#0"), "b": (1, 7, 1, "f#2")}
+    assert put([(4, 3, "a", "g#0"), (8, 1, "c", "g#1")]) == {"a": (3, 4, 3, "g#0"), "b": (1, 7, 1, "f#2"), "c": (1, 8, 1, "g#1")}
+    assert put([(9, 9, "b", "h#0"), (1, 2, "a", "h#1")]) == {"a": (4, 4, 3, "g#0"), "b": (2, 9, 9, "h#0"), "c": (1, 8, 1, "g#1")}
+    assert len(list((tmp_path / "state" / "layers").glob("batch=*"))) == 3
+
+
+def test_without_equals_anti_join(spark):
+    docs = spark.createDataFrame([(i % 7 if i % 5 else None, f"t{i % 3}", "k", i) for i in range(60)], "doc_id long, text string, `key` string, block int")
+    gone = spark.createDataFrame([(2, "t1"), (None, "t0"), (3, "t9")], "doc_id long, own string")
+    got = url_filter.without(docs, gone, {"doc_id": docs["doc_id"], "own": docs["text"]})
+    assert got.columns == docs.columns
+    assert sorted(r.block for r in got.collect()) == [r.block for r in docs.orderBy("block").collect() if (r.doc_id, r.text) not in {(2, "t1"), (None, "t0"), (3, "t9")}]
+
+
 def test_exact_dedup_keeps_rows_without_identifier(spark):
     df = spark.createDataFrame([(None, "a"), (3, "a"), (None, "b"), (4, "b ")], "doc_id long, text string")
     assert sorted(map(str, exact_dedup.unique(df).collect())) == sorted(map(str, df.where("doc_id is not null").collect()))
