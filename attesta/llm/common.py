@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to Python: a batch of long texts stays well under a worker's memory.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

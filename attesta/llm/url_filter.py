@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS = 4
 KEYS_PER_BLOCK = 4  # 16 bits a key
@@ -117,9 +119,9 @@ def without(docs: DataFrame, gone: DataFrame, names: dict[str, Column]) -> DataF
     Only rows that may go, by a Bloom filter of the identifiers, travel to meet the list; all others pass where they are.
     """
     first = next(iter(names))
-    tested = _tested(docs, F.xxhash64(names[first]), gone.select(F.xxhash64(first).alias("key")).distinct())
-    stays = tested.where("not __may").drop("__may")
-    asked, listed = tested.where("__may").drop("__may"), gone.select(*(F.col(n).alias(f"__{n}") for n in names)).distinct()
+    listed = stored(docs.sparkSession, gone.select(*(F.col(n).alias(f"__{n}") for n in names)), "gone")
+    tested = _tested(docs, F.xxhash64(names[first]), listed.select(F.xxhash64(f"__{first}").alias("key")))
+    stays, asked = tested.where("not __may").drop("__may"), tested.where("__may").drop("__may")
     same = [own.eqNullSafe(listed[f"__{n}"]) for n, own in names.items()]
     return stays.unionByName(asked.join(listed, same, "left_anti"))
 
