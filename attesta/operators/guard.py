@@ -1,19 +1,15 @@
 """Citation guard: what a drafted text cites, whether all of it was retrieved, and the whole-draft verdict.
 
-Reading citations is a left-to-right scan with state, done in Arrow batches; everything after it
-(ranges, inclusion, verdict, sentences) is column expressions. A draft is accepted or rejected
-whole, never repaired.
+All of it is column expressions. Every announcement ("article", "art.") is found together with the chain of
+numbers behind it, which a look-ahead captures without consuming it; a chain is then cut into steps
+(a number, its neighbour, whether a range leads to it), ranges are unfolded as sequences, and
+the first step that cannot be read ends the chain. A draft is accepted or rejected whole, never repaired.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as Y
 
 from attesta.functions.text import FIRST, FIRST_SPELLINGS
 
@@ -37,99 +33,77 @@ BENCH_CITATION = (
 )
 BENCH_WIDEST_RANGE = 50
 
-_ = {k: re.compile(v, re.I) for k, v in {"announce": ANNOUNCE, "number": NUMBER, "digits": UNREADABLE_DIGITS, "words": UNREADABLE_WORDS, "link": LINK, "quantity": QUANTITY, "range": RANGE, "bench": BENCH_CITATION, "part": r"premier|\d{1,3}|à"}.items()}
-
-
-def canonical(raw: str) -> str:
-    t = raw.strip().lower().replace(" ", "")
-    t = str(int(t)) if t.isdigit() else t
-    return FIRST if t in FIRST_SPELLINGS else t
-
-
-def expand(first: str, last: str, widest: int = WIDEST_RANGE) -> list[str] | None:
-    """All identifiers of a range, or None when it cannot be read (backwards, empty or too wide)."""
-    a, b = (1 if (c := canonical(x)) == FIRST else int(c) if c.isdigit() else 0 for x in (first, last))
-    return [canonical(str(i)) for i in range(a, b + 1)] if a and 0 < b - a <= widest else None
-
-
-def _events(text: str) -> Iterator[tuple[bool, str]]:
-    """(readable, identifier or fragment) in reading order."""
-    for head in _["announce"].finditer(text):
-        here = _["number"].match(text, head.end())
-        if not here:
-            bad = _["digits"].match(text, head.end()) or _["words"].match(text, head.end())
-            if bad:
-                yield False, f"{head[0].strip()} {bad[0]}"
-            continue
-        yield True, canonical(here[0])
-        while True:
-            bridge = _["range"].match(text, here.end())
-            ranged = bridge is not None
-            bridge = bridge or _["link"].match(text, here.end())
-            if not bridge or _["quantity"].match(text, bridge.end()):
-                break
-            there = _["number"].match(text, bridge.end())
-            if not there:
-                if bad := _["digits"].match(text, bridge.end()):
-                    yield False, f"article {bad[0]}"
-                break
-            if ranged:
-                span = expand(here[0], there[0])
-                if span is None:
-                    yield False, f"articles {canonical(here[0])} à {canonical(there[0])}"
-                    break
-                yield from ((True, n) for n in span)
-            else:
-                yield True, canonical(there[0])
-            here = there
-
-
-def read(text: str | None) -> tuple[list[str], list[str]]:
-    """(citations, unreadable references), each without repeats and in order."""
-    found: dict[bool, dict[str, None]] = {True: {}, False: {}}
-    for readable, what in _events(text or ""):
-        found[readable].setdefault(what)
-    return list(found[True]), list(found[False])
-
-
-def read_for_bench(text: str | None, corpus: frozenset[str] | None = None) -> list[str]:
-    """The bench's own reader: one pattern, ranges of at most 50 unfolded (else both ends), known identifiers only."""
-    out: dict[str, None] = {}
-    for group in _["bench"].findall(text or ""):
-        before, ranged = None, False
-        for part in map(str.lower, _["part"].findall(group)):
-            if part == "à":
-                ranged = True
-                continue
-            both = before is not None and ranged
-            wide = both and before.isdigit() and part.isdigit() and 0 < int(part) - int(before) <= BENCH_WIDEST_RANGE
-            for n in map(str, range(int(before), int(part) + 1)) if wide else ((before, part) if both else (part,)):
-                if corpus is None or n in corpus:
-                    out.setdefault(n)
-            before, ranged = part, False
-    return list(out)
+# A reference as one pattern: what follows the announcement, as far as it chains. Flags: case-insensitive, all alphabets.
+_FLAGS = "(?iuU)"
+_BRIDGE = rf"(?:{RANGE}|{LINK})(?!{QUANTITY})"
+_CHAIN = rf"{NUMBER}(?:{_BRIDGE}{NUMBER})*(?:{_BRIDGE}(?:{UNREADABLE_DIGITS}))?|{UNREADABLE_DIGITS}|{UNREADABLE_WORDS}"
+_HEAD = rf"{_FLAGS}({ANNOUNCE})(?=({_CHAIN}))"
+_STEP = rf"{_FLAGS}(?:({RANGE})|{LINK}|^)({NUMBER})"
+_REST = rf"{_FLAGS}^(?:{NUMBER}(?:{_BRIDGE}{NUMBER})*{_BRIDGE})?({UNREADABLE_DIGITS}|{UNREADABLE_WORDS})$"
+_BENCH_STEP = rf"{_FLAGS}(?:(à)|,|et|ou|^)\s*(premier|\d{{1,3}})"
 
 
-_READING = Y.StructType([Y.StructField("citations", Y.ArrayType(Y.StringType())), Y.StructField("unreadable", Y.ArrayType(Y.StringType()))])
+def _value(raw: Column) -> Column:
+    """The number a readable reference stands for."""
+    t = F.lower(F.translate(raw, " ", ""))
+    return F.when(t.isin(*FIRST_SPELLINGS), 1).otherwise(t.try_cast("int"))
 
 
-def citations(text: Column) -> Column:
-    """struct(citations, unreadable) of a text column."""
+def named(number: Column) -> Column:
+    return F.when(number == 1, FIRST).otherwise(number.cast("string"))
+
+
+def _steps(chain: Column, pattern: str) -> Column:
+    """The numbers of a chain, each with its left neighbour (``a``, null at first), itself (``b``) and whether a range leads to it."""
+    ranged = F.transform(F.regexp_extract_all(chain, F.lit(pattern), F.lit(1)), lambda x: x != "")
+    number = F.transform(F.regexp_extract_all(chain, F.lit(pattern), F.lit(2)), _value)
+    left = F.concat(F.array(F.lit(None).cast("int")), number)
+    return F.filter(F.arrays_zip(left.alias("a"), number.alias("b"), ranged.alias("ranged")), lambda x: x.b.isNotNull())
 
-    def run(s: pd.Series) -> pd.DataFrame:
-        both = [read(t) for t in s]
-        return pd.DataFrame({"citations": [a for a, _u in both], "unreadable": [u for _a, u in both]})
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, _READING)(text)
+def _spelled_out(step: Column, widest: int) -> Column:
+    wide = step.ranged & (step.a >= 1) & (step.b > step.a) & (step.b - step.a <= widest)
+    return F.when(wide, F.sequence(step.a, F.greatest(step.a, step.b))).otherwise(F.array(step.b))
 
 
-def bench_citations(text: Column) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(read_for_bench)
+def _of_chain(head: Column) -> Column:
+    """struct(cites, bad) of one announced chain: numbers up to the first range that cannot be read, and what cannot."""
+    steps = _steps(head.chain, _STEP)
+    broken = lambda x: F.coalesce(x.ranged & ~((x.a >= 1) & (x.b > x.a) & (x.b - x.a <= WIDEST_RANGE)), F.lit(False))
+    stop = F.array_position(F.transform(steps, broken), True)
+    whole = F.when(stop > 0, F.slice(steps, 1, F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(steps)
+    at = F.get(steps, (stop - 1).cast("int"))
+    rest = F.regexp_extract(head.chain, _REST, 1)
+    lead = F.when(F.size(steps) == 0, F.trim(F.regexp_replace(head.announced, r"(?U)^\s+|\s+$", ""))).otherwise("article")
+    bad = F.when(stop > 0, F.concat(F.lit("articles "), named(at.a), F.lit(" à "), named(at.b))).when(rest != "", F.concat(lead, F.lit(" "), rest))
+    return F.struct(F.flatten(F.transform(whole, lambda x: _spelled_out(x, WIDEST_RANGE))).alias("cites"), bad.alias("bad"))
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, Y.ArrayType(Y.StringType()))(text)
+
+def citations(text: Column) -> Column:
+    """struct(citations, unreadable) of a text column, each without repeats and in reading order."""
+    t = F.coalesce(text, F.lit(""))
+    heads = F.arrays_zip(F.regexp_extract_all(t, F.lit(_HEAD), F.lit(1)).alias("announced"), F.regexp_extract_all(t, F.lit(_HEAD), F.lit(2)).alias("chain"))
+    found = F.transform(heads, _of_chain)
+    cites = F.array_distinct(F.transform(F.flatten(F.transform(found, lambda x: x.cites)), named))
+    return F.struct(cites.alias("citations"), F.array_distinct(F.array_compact(F.transform(found, lambda x: x.bad))).alias("unreadable"))
+
+
+def bench_citations(text: Column, corpus: Column | None = None) -> Column:
+    """The bench's own reader: one pattern, ranges of at most 50 unfolded (else both ends), known identifiers only."""
+    groups = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FLAGS + BENCH_CITATION), F.lit(1))
+    plain = lambda raw: F.when(F.lower(raw) == FIRST, FIRST).otherwise(raw)
+
+    def spread(group: Column) -> Column:
+        raw = F.transform(F.regexp_extract_all(group, F.lit(_BENCH_STEP), F.lit(2)), plain)
+        ranged = F.transform(F.regexp_extract_all(group, F.lit(_BENCH_STEP), F.lit(1)), lambda x: x != "")
+        pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), raw).alias("a"), raw.alias("b"), ranged.alias("ranged"))
+        a, b = (lambda x: x.a.try_cast("int")), (lambda x: x.b.try_cast("int"))
+        wide = lambda x: x.ranged & (b(x) - a(x)).between(1, BENCH_WIDEST_RANGE)
+        inner = lambda x: F.transform(F.sequence(a(x), F.greatest(a(x), b(x))), lambda i: i.cast("string"))
+        return F.flatten(F.transform(F.filter(pairs, lambda x: x.b.isNotNull()), lambda x: F.when(wide(x), inner(x)).otherwise(F.array(x.b))))
+
+    out = F.array_distinct(F.flatten(F.transform(groups, spread)))
+    return out if corpus is None else F.array_intersect(out, corpus)
 
 
 def expanded(first: Column, last: Column, widest: int = WIDEST_RANGE) -> Column:
