@@ -1,7 +1,7 @@
 """Dense retrieval: normalisation, exact cosine top-k, max-pooling by article, centring.
 
-Vectors are multiplied in Arrow batches: each batch of passages meets the (small, size-checked) query
-matrix in one matmul, keeps its own best per query, and only those candidates are shuffled. Nothing of
+Vectors are multiplied in Arrow batches: each batch of passages meets a block of the queries, of bounded size, in
+one matmul, keeps its own best per query, and only those candidates are shuffled. Nothing of
 size queries x passages is ever a row.
 """
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values (queries x dimensions) of the query matrix that travels with the tasks.
+#: Values (queries x dimensions) of the block of queries that travels with the tasks.
 MAX_QUERY_VALUES = 20_000_000
 DEPTH = 50
 
@@ -42,38 +42,59 @@ def centred(vectors: DataFrame, mean: DataFrame) -> DataFrame:
     return placed.withColumn("v", F.zip_with("v", "__mean", lambda x, m: x - m)).withColumn("v", normalise(F.col("v"))).drop("__mean")
 
 
-def _query_matrix(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks of about ``MAX_QUERY_VALUES`` values: what travels with the tasks stays bounded, and every block meets all passages."""
     size = queries.agg(F.sum(F.size("v"))).first()[0] or 0
-    if size > MAX_QUERY_VALUES:
-        raise ValueError(f"{size} query values; the exact scan takes {MAX_QUERY_VALUES} at once: deal the queries to several calls")
+    blocks = -(-size // MAX_QUERY_VALUES)
+    if blocks <= 1:
+        return [queries]
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
+def _query_matrix(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = queries.select("query_id", "v").orderBy("query_id").collect()
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column, all of one size, straight from its values."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, names: np.ndarray, depth: int, digits: int) -> pa.RecordBatch:
+    """Of each query (row of ``scores``) the ``depth`` best names, ties by name. No name outside a batch's best can be among the best of all."""
+    rounded = -np.round(scores, digits)
+    order = np.lexsort((np.broadcast_to(names, scores.shape), rounded), axis=1)[:, :depth]
+    out = (np.repeat(ids, order.shape[1]), names[order].reshape(-1), np.take_along_axis(scores, order, 1).reshape(-1))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "doc_id", "score"])
+
+
+def _scan(passages: DataFrame, name: str, queries: DataFrame, best) -> DataFrame:
+    """``best(ids, names, scores)`` of every batch of passages and block of queries."""
+    rows, out = passages.select(F.col(name).cast("long").alias("name"), F.col("v").cast("array<double>").alias("v")).where("v is not null"), None
+    for block in _query_blocks(queries):
+        ids, q = _query_matrix(block)
+
+        def run(batches, ids=ids, q=q):
+            for b in batches:
+                if b.num_rows and len(ids):
+                    yield best(ids, b.column(0).to_numpy(zero_copy_only=False), q @ _matrix(b.column(1)).T)
+
+        part = rows.mapInArrow(run, "query_id long, doc_id long, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def cosine(passages: DataFrame, queries: DataFrame, depth: int = DEPTH, digits: int = 6) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``: for each query a superset of its ``depth`` best passages (``doc_id``, ``v``), ties by identifier.
 
     Each batch drops what cannot be among the best ``depth``; the exact cut is one window over what is left.
     """
-    ids, q = _query_matrix(queries)
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            doc = b.column(0).to_numpy(zero_copy_only=False)
-            v = np.array(b.column(1).to_pylist(), float)
-            s = np.round(v @ q.T, digits + 3)
-            out_q, out_d, out_s = [], [], []
-            for j in range(len(ids)):
-                best = np.lexsort((doc, -np.round(s[:, j], digits)))[:depth]
-                out_q.append(np.full(len(best), ids[j]))
-                out_d.append(doc[best])
-                out_s.append(s[best, j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_d, out_s)], ["query_id", "doc_id", "score"])
-
-    found = passages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, doc_id long, score double")
-    return found.select("query_id", "doc_id", F.round("score", digits).alias("score"))
+
+    def best(ids, names, scores):
+        return _best(ids, np.round(scores, digits + 3), names, depth, digits)
+
+    return _scan(passages, "doc_id", queries, best).select("query_id", "doc_id", F.round("score", digits).alias("score"))
 
 
 def pooled(scores: DataFrame, article: DataFrame) -> DataFrame:
@@ -82,21 +103,19 @@ def pooled(scores: DataFrame, article: DataFrame) -> DataFrame:
 
 
 def pooled_cosine(passages: DataFrame, queries: DataFrame, depth: int = DEPTH, digits: int = 6) -> DataFrame:
-    """Maximum over the passages of each article (``numero``); batches send one row a query and article."""
-    ids, q = _query_matrix(queries)
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            names, inverse = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-            s = np.array(b.column(1).to_pylist(), float) @ q.T
-            best = np.full((len(names), len(ids)), -np.inf)
-            np.maximum.at(best, inverse, s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(names))), pa.array(np.repeat(names, len(ids))), pa.array(best.reshape(-1))], ["query_id", "doc_id", "score"])
-
-    found = passages.select(F.col("numero").cast("long").alias("numero"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, doc_id long, score double")
-    return found.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), digits).alias("score"))
+    """Maximum over the passages of each article (``numero``): for each query a superset of its ``depth`` best articles.
+
+    A batch pools its passages and sends its best articles only: the batch that holds a best article's best passage
+    ranks it at least as high as all batches together do.
+    """
+
+    def best(ids, names, scores):
+        names, inverse = np.unique(names, return_inverse=True)
+        pool = np.full((len(names), len(ids)), -np.inf)
+        np.maximum.at(pool, inverse, np.round(scores.T, digits + 3))
+        return _best(ids, np.ascontiguousarray(pool.T), names, depth, digits)
+
+    return _scan(passages, "numero", queries, best).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), digits).alias("score"))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

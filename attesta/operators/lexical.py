@@ -1,5 +1,6 @@
 """Lexical retrieval: term statistics, Okapi BM25 and its variants, overlap floors, coverage.
 
+Documents come as ``bags`` (``doc_id``, ``toks``), tokenized as they are read, or as a stored ``Index`` of them.
 The query side is small and checked; its vocabulary prunes the exploded tokens before anything is
 shuffled, so a batch of queries moves only the postings it needs. Scores are ranked on their rounded value
 and the document's rank, since sums of shuffled partials may differ in the last bits.
@@ -9,13 +10,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Query terms beyond this many are joined by shuffle instead of being broadcast.
 BROADCAST_TERMS = 500_000
 
 
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: ``postings`` (``term``, ``doc_id``, ``f``, ``dl``) and ``lengths`` (``doc_id``, ``dl``, empty documents included)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
 @dataclass(frozen=True)
 class Okapi:
     k1: float = 1.2
@@ -38,13 +47,33 @@ def weighted_tokens(body: Column, title: Column | None, weight: int) -> Column:
     return F.concat(body, *([title] * weight))
 
 
-def statistics(bags: DataFrame) -> DataFrame:
+def build_index(bags: DataFrame, path: str) -> None:
+    """Write the index of ``bags`` in one pass over the texts. Each document adds a row under the empty term, which holds its length.
+
+    Files are sorted by term, so that a scan for few terms skips most row groups.
+    """
+    rows = bags.select("doc_id", F.size("toks").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "toks")).alias("term"))
+    counted = rows.groupBy("doc_id", "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
+    counted.select("term", "doc_id", "f", "dl").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    table = spark.read.parquet(path)
+    return Index(table.where("term > ''"), table.where("term = ''").select("doc_id", "dl"))
+
+
+def statistics(bags: DataFrame | Index) -> DataFrame:
     """One row: ``n`` documents (empty ones included) and their mean length ``avgdl``."""
+    if isinstance(bags, Index):
+        return bags.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return bags.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
 
 
-def postings(bags: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def postings(bags: DataFrame | Index, vocabulary: DataFrame | None = None) -> DataFrame:
     """``doc_id``, ``term``, ``f`` and the document's length ``dl``; only terms of ``vocabulary`` where given."""
+    if isinstance(bags, Index):
+        kept = bags.postings if vocabulary is None else bags.postings.join(vocabulary, "term")
+        return kept.select("doc_id", "term", "f", "dl")
     rows = bags.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     if vocabulary is not None:
         rows = rows.join(vocabulary, "term")
@@ -68,7 +97,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode("toks").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def contributions(bags: DataFrame, queries: DataFrame, okapi: Okapi = PRODUCTION) -> DataFrame:
+def contributions(bags: DataFrame | Index, queries: DataFrame, okapi: Okapi = PRODUCTION) -> DataFrame:
     """``query_id``, ``doc_id``, ``term``, ``part``: what each query term adds to each document."""
     q = query_terms(queries)
     tf = postings(bags, small(q.select("term").distinct()))
@@ -81,7 +110,7 @@ def contributions(bags: DataFrame, queries: DataFrame, okapi: Okapi = PRODUCTION
     return weighed.join(small(q), "term").select("query_id", "doc_id", "term", (F.col("qtf") * F.col("w")).alias("part"))
 
 
-def bm25(bags: DataFrame, queries: DataFrame, okapi: Okapi = PRODUCTION, digits: int = 6) -> DataFrame:
+def bm25(bags: DataFrame | Index, queries: DataFrame, okapi: Okapi = PRODUCTION, digits: int = 6) -> DataFrame:
     """``query_id``, ``doc_id``, ``score`` (rounded), positive scores only."""
     parts = contributions(bags, queries, okapi)
     return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), digits).alias("score")).where("score > 0")
@@ -93,7 +122,7 @@ def top(scored: DataFrame, k: int, tie: str = "doc_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def coverage(bags: DataFrame, queries: DataFrame) -> DataFrame:
+def coverage(bags: DataFrame | Index, queries: DataFrame) -> DataFrame:
     """``query_id``, ``n_terms`` and ``n_known`` (distinct), ``coverage`` (0 without terms), ``unknown`` (sorted)."""
     q = query_terms(queries).select("query_id", "term")
     known = postings(bags, small(q.select("term").distinct())).select("term").distinct().withColumn("known", F.lit(1))
@@ -109,7 +138,7 @@ def coverage(bags: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def saturation(bags: DataFrame, queries: DataFrame, okapi: Okapi = PRODUCTION) -> DataFrame:
+def saturation(bags: DataFrame | Index, queries: DataFrame, okapi: Okapi = PRODUCTION) -> DataFrame:
     """``query_id``, ``first``, ``second``, ``margin`` and ``saturation`` (best score over the idf mass of known terms)."""
     q = query_terms(queries).select("query_id", "term")
     tf = postings(bags, small(q.select("term").distinct()))
@@ -119,14 +148,14 @@ def saturation(bags: DataFrame, queries: DataFrame, okapi: Okapi = PRODUCTION) -
     return best.join(mass, "query_id").select("query_id", "first", "second", F.round(F.try_divide(F.col("first") - F.col("second"), F.col("first")), 3).alias("margin"), F.round(F.try_divide("first", "mass"), 3).alias("saturation"))
 
 
-def overlap(bags: DataFrame, queries: DataFrame) -> DataFrame:
+def overlap(bags: DataFrame | Index, queries: DataFrame) -> DataFrame:
     """Word-overlap floor: number of distinct shared words."""
     q = query_terms(queries).select("query_id", "term")
     pairs = postings(bags, small(q.select("term").distinct())).join(small(q), "term")
     return pairs.groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
 
 
-def idf_overlap(bags: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+def idf_overlap(bags: DataFrame | Index, queries: DataFrame, digits: int = 6) -> DataFrame:
     """Idf-overlap floor: classic idf of the distinct shared words, positive sums only."""
     q = query_terms(queries).select("query_id", "term")
     tf = postings(bags, small(q.select("term").distinct()))

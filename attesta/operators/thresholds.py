@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.lexical import small
+
 BUCKETS = 64
 EPSILON = 1e-12
 
@@ -63,17 +65,15 @@ def frontier(swept: DataFrame) -> DataFrame:
     return best.select("false_accepts", F.col("b.false_refusals").alias("false_refusals"), F.col("b.threshold").alias("threshold"))
 
 
-def frontier_of_two(cases: DataFrame, left: str, right: str, max_values: int = 2000) -> DataFrame:
+def frontier_of_two(cases: DataFrame, left: str, right: str) -> DataFrame:
     """Frontier of the rule left >= a and right >= b over all pairs of observed values.
 
     Cases are first counted by their pair of values; the grid is then met by those cells, not by cases.
     """
     cells = cases.groupBy(F.col(left).alias("l"), F.col(right).alias("r")).agg(F.count_if("own").alias("pos"), F.count_if(~F.col("own")).alias("neg"))
     a, b = cells.select(F.col("l").alias("a")).distinct(), cells.select(F.col("r").alias("b")).distinct()
-    if a.count() > max_values or b.count() > max_values:
-        raise ValueError(f"more than {max_values} distinct values of a signal: round it first")
     total = cells.agg(F.sum("pos")).scalar()
-    met = cells.join(F.broadcast(a), F.col("l") >= F.col("a")).groupBy("a", "r").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).join(F.broadcast(b), F.col("r") >= F.col("b"))
+    met = cells.join(small(a), F.col("l") >= F.col("a")).groupBy("a", "r").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).join(small(b), F.col("r") >= F.col("b"))
     grid = met.groupBy("a", "b").agg(F.sum("neg").alias("false_accepts"), F.sum("pos").alias("kept")).withColumn("false_refusals", total - F.col("kept"))
     best = grid.groupBy("false_accepts").agg(F.min(F.struct("false_refusals", "a", "b")).alias("m"))
     return best.select("false_accepts", "m.false_refusals", "m.a", "m.b")

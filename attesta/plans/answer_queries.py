@@ -165,7 +165,7 @@ fl as (select *, drafted and len(cited) > 0 and len(list_filter(cited, lambda x:
 def answered(spark, d):
     """Every question answered by a stand-in writer whose mode follows the identifier; the guard decides."""
     got = R.composed(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s.doc_id.cast("string")).alias("retrieved"))
-    n = I.table(spark, d, "documents").count()
+    n = I.documents(spark, d).count()
     none = F.array().cast("array<string>")
     ev = R.evaluated(spark, d).select("query_id", "sure", F.transform("want", lambda x: x.cast("string")).alias("expected"))
     rows = ev.join(got, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", none))
@@ -237,7 +237,7 @@ def observer_journal(spark, d):
 
 def lines(spark, d):
     """Lines of all documents with made-up geometry; every seventh is a heading, ten make an article."""
-    docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    docs = I.documents(spark, d).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
     return docs.withColumns({"bold": F.col("n") % 5 == 0, "heading": F.col("n") % 7 == 0, "article": F.floor(F.col("n") / 10), "x0": (70 + F.col("n") * 13 % 40).cast("double"), "x1": (400 + F.col("n") * 37 % 150).cast("double")})
 
 
@@ -288,7 +288,7 @@ def qc_report(spark, d):
 
 @query("with a as (select doc_id + doc_id // 10 + 1 as rang from documents union all select doc_id + doc_id // 10 + 1 from documents where doc_id % 50 = 0), r as (select rang, lag(rang) over (order by rang) as p from (select distinct rang from a)) select unnest(range(coalesce(p, 0) + 1, rang)) as rang, 'missing' as fault from r union all select rang, 'repeated' from a group by rang having count(*) > 1")
 def numbering_gaps(spark, d):
-    docs = I.table(spark, d, "documents").select(F.col("doc_id"), (F.col("doc_id") + F.floor(F.col("doc_id") / 10) + 1).alias("rang"))
+    docs = I.documents(spark, d).select(F.col("doc_id"), (F.col("doc_id") + F.floor(F.col("doc_id") / 10) + 1).alias("rang"))
     return X.numbering(docs.select("rang").unionByName(docs.where("doc_id % 50 = 0").select("rang")))
 
 
@@ -309,13 +309,13 @@ def heading_split(spark, d):
 @query()
 def greedy_chunks(spark, d):
     """Paragraphs packed to 400 characters; sequential by nature, held against a plain loop in tests."""
-    docs = I.table(spark, d, "documents").select("doc_id", "text")
+    docs = I.documents(spark, d).select("doc_id", "text")
     return docs.select("doc_id", F.posexplode(X.chunks(F.col("text"), 400)).alias("piece", "passage")).select("doc_id", "piece", F.length("passage").alias("n_chars"))
 
 
 @query()
 def headed_chunks(spark, d):
-    docs = I.table(spark, d, "documents").select("doc_id", "text", "source")
+    docs = I.documents(spark, d).select("doc_id", "text", "source")
     head = F.concat("source", F.lit(" > article "), F.col("doc_id").cast("string"), F.lit(". "))
     return docs.select("doc_id", F.posexplode(X.headed_chunks(F.col("text"), head)).alias("piece", "passage")).select("doc_id", "piece", F.length("passage").alias("n_chars"))
 
@@ -328,17 +328,17 @@ bx as (select bare, arg_min(form, (-n, form)) as accented from fc where bare <>
 
 @query(f"with {_LEXICON} select * from lexi")
 def accent_lexicon(spark, d):
-    return A.lexicon(A.forms(I.table(spark, d, "documents")))
+    return A.lexicon(A.forms(I.documents(spark, d)))
 
 
 @query(f"with {_LEXICON} select count(*) as n, count(*) filter (ambiguous) as n_ambiguous from lexi")
 def ambiguous_forms(spark, d):
-    return A.lexicon(A.forms(I.table(spark, d, "documents"))).agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("n_ambiguous"))
+    return A.lexicon(A.forms(I.documents(spark, d))).agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("n_ambiguous"))
 
 
 @query()
 def four_spellings(spark, d):
-    lex = A.lexicon(A.forms(I.table(spark, d, "documents")))
+    lex = A.lexicon(A.forms(I.documents(spark, d)))
     q = I.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return A.spellings(q, lex).select("query_id", "spelling", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"))
 

@@ -36,7 +36,7 @@ _SYN = "syn(term, more) as (values " + ", ".join(f"('{t}', {m})" for t, m in SYN
 q1 as (select * from q0 union all select query_id, unnest(more) from (select distinct query_id, term from q0) join syn using (term)), q as (select query_id, term, count(*) as qtf from q1 group by all), {S.scored()}, {S.top(5)} select query_id, doc_id, score, rank from ranked""")
 def synonym_expansion(spark, d):
     syn = spark.createDataFrame(list(SYNONYMS), "term string, more array<string>")
-    return L.top(L.bm25(I.bags(spark, d), L.expand(I.questions(spark, d), syn)), 5).select("query_id", "doc_id", "score", "rank")
+    return L.top(L.bm25(I.index(spark, d), L.expand(I.questions(spark, d), syn)), 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"with {R._arms()}, {R._composed()} select query_id, cast(doc_id as varchar) as numero, arm, rank, d.source as titre, left(split_part(d.text, chr(10), 1), 220) as extrait from comp join documents d using (doc_id)")
@@ -63,7 +63,7 @@ select query_id, a.got[1:3] = b.got[1:3] as same_top3, cast(len(list_intersect(a
 def payload_displacement(spark, d):
     from attesta.functions.text import tokens
 
-    bags, b = I.bags(spark, d), I.table(spark, d, "benchmark")
+    bags, b = I.index(spark, d), I.table(spark, d, "benchmark")
     paid = b.select(F.col("item_id").alias("query_id"), tokens(F.concat("text", F.lit(_PAY))).alias("toks"))
     rank = lambda q: L.top(L.bm25(bags, q), 5)
     plain = G.ranked_list(rank(I.questions(spark, d)), "got")

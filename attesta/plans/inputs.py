@@ -2,28 +2,63 @@
 
 ``documents`` are the articles (identifier ``doc_id``, which is also the order key; one title,
 ``source``), ``benchmark`` items are the questions (expected: the documents that contain them),
-``embeddings`` the vectors (queries: ``vec_id`` below 20).
+``embeddings`` the vectors (queries: every ``vec_id`` divisible by 20, against all).
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.operators.lexical import weighted_tokens
+from attesta.operators import lexical as L
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents``, spread over the cores by identifier where its files make fewer tasks than there are cores; a large table is read as it lies."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() <= cores else docs
+
+
 _KEPT: dict = {}
 
 
+def _shelf(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where none is set, as in tests."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = _KEPT.get("shelf") or tempfile.mkdtemp(prefix="attesta-index-")
+        if "shelf" not in _KEPT:
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        _KEPT["shelf"] = found
+    return found.rstrip("/")
+
+
+def index(spark: SparkSession, sf_dir: str, tokenizer=T.tokens, title_weight: int = 2) -> L.Index:
+    """The stored index of the documents under one way of tokenizing: written when first asked for, read ever after in the session."""
+    key = (spark.sparkContext.applicationId, "index", sf_dir, tokenizer, title_weight)
+    if key not in _KEPT:
+        path = f"{_shelf(spark)}/index-{uuid.uuid4().hex}"
+        L.build_index(bags(spark, sf_dir, tokenizer, title_weight), path)
+        _KEPT[key] = path
+    return L.open_index(spark, _KEPT[key])
+
+
 def once(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """``build()`` persisted for the session: arms of a ranking are read by many plans, and hold at most depth rows a question."""
+    """``build()`` persisted: arms of a ranking are read several times by a plan, and hold at most depth rows a question. Those of other tables are released."""
+    name, where, *_ = key
     key = (spark.sparkContext.applicationId, *key)
+    for other in [k for k, v in _KEPT.items() if isinstance(v, DataFrame) and k[2] != where]:
+        _KEPT.pop(other).unpersist()
     if key not in _KEPT:
         _KEPT[key] = build()
     kept = _KEPT[key]
@@ -31,8 +66,8 @@ def once(spark: SparkSession, key: tuple, build) -> DataFrame:
 
 
 def bags(spark: SparkSession, sf_dir: str, tokenizer=T.tokens, title_weight: int = 2) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return docs.select("doc_id", weighted_tokens(tokenizer(F.col("text")), tokenizer(F.col("source")) if title_weight else None, title_weight).alias("toks"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    return docs.select("doc_id", L.weighted_tokens(tokenizer(F.col("text")), tokenizer(F.col("source")) if title_weight else None, title_weight).alias("toks"))
 
 
 def questions(spark: SparkSession, sf_dir: str, tokenizer=T.tokens) -> DataFrame:
@@ -44,11 +79,21 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id``, ``doc_id`` of the documents that contain a question (a semi-join on its rarest shape would be needed for many questions; here they are few and checked)."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    if q.count() > 10_000:
-        raise ValueError("containment is checked against every question: at most 10,000")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(q), F.expr("contains(text, q)")).select("query_id", "doc_id")
+    """``query_id``, ``doc_id`` of the documents that contain a question.
+
+    What contains a text holds all of its tokens but perhaps the outermost ones, so only documents with the rarest of a question's
+    inner tokens, by the index, are compared with it. A question without inner tokens is compared with every document.
+    """
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), T.tokens(F.col("text")).alias("toks"))
+    inner = F.slice("toks", 2, F.greatest(F.size("toks") - 2, F.lit(0)))
+    terms = q.select("query_id", F.explode(F.array_distinct(inner)).alias("term"))
+    found = L.postings(index(spark, sf_dir), L.small(terms.select("term").distinct()))
+    rarest = terms.join(L.small(L.document_frequency(found)), "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term")).term.alias("term"))
+    asked = found.select("doc_id", "term").join(L.small(rarest), "term").select("query_id", "doc_id")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    far = asked.join(docs, "doc_id").join(L.small(q.select("query_id", "q")), "query_id")
+    near = docs.join(q.where(F.size("toks") <= 2).select("query_id", "q"), F.expr("contains(text, q)"))
+    return far.where("contains(text, q)").select("query_id", "doc_id").unionByName(near.select("query_id", "doc_id"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

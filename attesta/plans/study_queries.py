@@ -61,9 +61,10 @@ def pareto_frontier(spark, d):
     return P.frontier(P.sweep(cases(spark, d), "length")).withColumn("threshold", F.round("threshold", 6))
 
 
-@query(f"with {_C}, e as (select own, round(length, 0) as l, round(density, 2) as r from c), g as (select a, b, count(*) filter (not own and l >= a and r >= b) as false_accepts, (select count(*) from e where own) - count(*) filter (own and l >= a and r >= b) as false_refusals, count(*) filter (l >= a and r >= b) as kept from e cross join (select distinct l as a from e) cross join (select distinct r as b from e where r is not null) group by a, b having count(*) filter (l >= a and r >= b) > 0) select false_accepts, m[1] as false_refusals, m[2] as a, m[3] as b from (select false_accepts, min(row(false_refusals, a, b)) as m from g group by 1)")
+@query(f"with {_C}, e as (select own, cast(floor(length) as bigint) as l, cast(floor(density * 100) as bigint) as r from c), g as (select a, b, count(*) filter (not own and l >= a and r >= b) as false_accepts, (select count(*) from e where own) - count(*) filter (own and l >= a and r >= b) as false_refusals, count(*) filter (l >= a and r >= b) as kept from e cross join (select distinct l as a from e) cross join (select distinct r as b from e where r is not null) group by a, b having count(*) filter (l >= a and r >= b) > 0) select false_accepts, m[1] as false_refusals, m[2] as a, m[3] as b from (select false_accepts, min(row(false_refusals, a, b)) as m from g group by 1)")
 def pareto_two_signal(spark, d):
-    rounded = cases(spark, d).select("own", F.round("length", 0).alias("l"), F.round("density", 2).alias("r"))
+    """Signals in whole classes (thousands of characters, hundredths of a word a character)."""
+    rounded = cases(spark, d).select("own", F.floor("length").alias("l"), F.floor(F.col("density") * 100).alias("r"))
     return P.frontier_of_two(rounded, "l", "r")
 
 
