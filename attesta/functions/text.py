@@ -197,6 +197,12 @@ def article_id(raw: Column) -> Column:
     return F.when(t.isin(*FIRST_SPELLINGS), FIRST).otherwise(t)
 
 
+def numeric_order(identifier: Column) -> Column:
+    """Sort key of identifiers: ``premier`` first, numbers by value, then everything else by name."""
+    n = F.when(F.lower(identifier).isin(*FIRST_SPELLINGS), 1).otherwise(identifier.try_cast("int"))
+    return F.struct(n.isNull().alias("other"), F.coalesce(n, F.lit(0)).alias("n"), identifier.alias("name"))
+
+
 def header(*titles: Column, sep: str = " — ") -> Column:
     """Non-empty titles joined."""
     return F.array_join(F.filter(F.array(*titles), lambda t: t.isNotNull() & (t != "")), sep)
@@ -213,8 +219,8 @@ def case_like(origin: Column, word: Column) -> Column:
 
 
 def french_number(value: Column, digits: int = 2) -> Column:
-    """A decimal comma, fixed digits."""
-    return F.replace(F.format_string(f"%.{digits}f", value.cast("double")), F.lit("."), F.lit(","))
+    """A decimal comma, fixed digits; ties go to the even digit."""
+    return F.replace(F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits)), F.lit("."), F.lit(","))
 
 
 def percent(value: Column) -> Column:
@@ -227,7 +233,7 @@ def first_line(text: Column, limit: int = 220) -> Column:
 
 def indented_line(message: Column) -> Column:
     """The first indented, non-blank line of a message, trimmed."""
-    return F.get(F.transform(F.filter(F.split(message, "\n"), lambda x: x.rlike(r"^\s+\S")), F.trim), F.lit(0))
+    return F.get(F.transform(F.filter(F.split(message, "\n"), lambda x: x.rlike(r"^\s+\S")), lambda x: F.trim(x)), F.lit(0))
 
 
 def caller(client: Column, forwarded: Column) -> Column:

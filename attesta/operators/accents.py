@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import fold
+from attesta.functions.text import case_like, fold
 
-#: Words of the lexicon that travel with the tasks of :func:`reaccented`.
-MAX_LEXICON = 2_000_000
 WORD = r"[\p{L}]+"
 
 
@@ -30,26 +25,19 @@ def lexicon(counted: DataFrame) -> DataFrame:
 
 
 def reaccented(texts: DataFrame, lex: DataFrame, column: str = "text", out: str = "reaccented") -> DataFrame:
-    """``texts`` with ``out``: words without accents replaced by the lexicon's form, in the case they were written; ambiguous words stay."""
-    sure = lex.where("not ambiguous").select("bare", "accented")
-    if (n := sure.count()) > MAX_LEXICON:
-        raise ValueError(f"a lexicon of {n} words does not travel; join words instead")
-    table = {r[0]: r[1] for r in sure.collect()}
-    word = re.compile(r"[^\W\d_]+")
-
-    def one(m: re.Match) -> str:
-        w = m[0]
-        new = table.get(w.lower())
-        if new is None:
-            return w
-        if len(w) > 1 and w.isupper():
-            return new.upper()
-        return new[:1].upper() + new[1:] if w[:1].isupper() else new
+    """``texts`` with ``out``: words without accents replaced by the lexicon's form, in the case they were written; ambiguous words stay.
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None else word.sub(one, t))
-
-    return texts.withColumn(out, F.pandas_udf(run, "string")(F.col(column)))
+    The distinct words of each text meet the lexicon in a join; a text then gets the few forms it needs as a map.
+    """
+    low = lambda w: F.lower(w)
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col(column), F.lit(WORD), F.lit(0)), low))
+    keyed = texts.withColumn("__key", F.sha2(F.col(column).cast("binary"), 256))
+    asked = keyed.select("__key", F.explode(words).alias("bare")).distinct()
+    found = asked.join(lex.where("not ambiguous").select("bare", "accented"), "bare").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("bare", "accented"))).alias("__forms"))
+    # Letters, and what stands between them, in order and without loss.
+    pieces = F.regexp_extract_all(F.col(column), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    new = F.array_join(F.transform(pieces, lambda p: F.coalesce(case_like(p, F.try_element_at(F.col("__forms"), low(p))), p)), "")
+    return keyed.join(found, "__key", "left").withColumn(out, new).drop("__key", "__forms")
 
 
 def spellings(questions: DataFrame, lex: DataFrame, column: str = "text") -> DataFrame:
@@ -62,6 +50,18 @@ def spellings(questions: DataFrame, lex: DataFrame, column: str = "text") -> Dat
     return rows.select("query_id", F.explode(F.array(*parts)).alias("x")).select("query_id", "x.*")
 
 
-def max_rule(a: Column, b: Column) -> Column:
-    """Proximity under two spellings: the greater."""
-    return F.greatest(a, b)
+def max_rule(a: Column, b: Column, ranked_a: Column, ranked_b: Column) -> tuple[Column, Column]:
+    """(proximity, ranking) under two spellings: the greater proximity, with the ranking it came from (ties: the second)."""
+    return F.greatest(a, b), F.when(b >= a, ranked_b).otherwise(ranked_a)
+
+
+#: The six rules over proximities of the spellings: ``a`` accented, ``d`` without accents, ``r`` those given back, ``ar`` given back to the accented one.
+RULES = {"accentuee": ("a",), "sans_accents": ("d",), "max_brute_depouillee": ("d", "d"), "reaccentuee": ("r",), "max_brute_reaccentuee": ("d", "r"), "accentuee_reaccentuee": ("ar",)}
+
+
+def under_rules(cases: DataFrame, threshold: float) -> DataFrame:
+    """``rule``, ``n``, ``served``, ``mean``, ``lost`` (cases served as typed and not under the rule) of the six rules (``cases``: columns a, d, r, ar); one pass."""
+    value = lambda cs: F.greatest(*[F.col(c) for c in cs]) if len(set(cs)) > 1 else F.col(cs[0])
+    aggs = [x for k, cs in RULES.items() for v in [value(cs)] for x in (F.count_if(v >= threshold).alias(f"s_{k}"), F.round(F.avg(v), 6).alias(f"m_{k}"), F.count_if((F.col("a") >= threshold) & (v < threshold)).alias(f"l_{k}"))]
+    row = cases.agg(F.count("*").alias("n"), *aggs)
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col("n"), F.col(f"s_{k}").alias("served"), F.col(f"m_{k}").alias("mean"), F.col(f"l_{k}").alias("lost")) for k in RULES])).alias("x")).select("x.*")

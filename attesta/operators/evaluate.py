@@ -53,6 +53,36 @@ def by_label(rows: DataFrame, k: int = 5) -> DataFrame:
     return sets.agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias(f"recall{k}"), F.round(F.avg("s"), 6).alias("silence")).withColumns({"label": F.coalesce("label", F.lit("total")), "half": F.coalesce("half", F.lit("tous"))})
 
 
+def misses(rows: DataFrame, k: int = 5) -> DataFrame:
+    """Answerable questions of which nothing expected is returned: ``query_id``, ``label``, ``want``, ``got``."""
+    return rows.where(hit(F.col("got"), F.col("want"), k) == 0).select("query_id", "label", "want", "got")
+
+
+def set_sizes(rows: DataFrame) -> DataFrame:
+    """One row: questions, answerable and foreign ones, and expected identifiers, all and distinct."""
+    own = F.size("want") > 0
+    return rows.agg(F.count("*").alias("n"), F.count_if(own).alias("answerable"), F.count_if(~own).alias("foreign"), F.sum(F.size("want")).alias("n_expected"), F.size(F.array_distinct(F.flatten(F.collect_set("want")))).cast("long").alias("n_distinct"))
+
+
+def service(rows: DataFrame, accepted: Column) -> DataFrame:
+    """One row: share of answerable questions served, accuracy at 1 and 3 among those (null without any), absolute numbers, and silence on foreign ones."""
+    own = F.size("want") > 0
+    speaks = own & accepted
+    right = lambda k: speaks & (hit(F.col("got"), F.col("want"), k) == 1)
+    return rows.agg(
+        F.round(F.try_divide(F.count_if(speaks), F.count_if(own)), 6).alias("service"), F.round(F.try_divide(F.count_if(right(1)), F.count_if(speaks)), 6).alias("accuracy1"), F.round(F.try_divide(F.count_if(right(3)), F.count_if(speaks)), 6).alias("accuracy3"),
+        F.count_if(right(1)).alias("useful1"), F.count_if(right(3)).alias("useful3"), F.count_if(speaks).alias("spoken"),
+        F.round(F.try_divide(F.count_if(~own & ~accepted), F.count_if(~own)), 6).alias("abstention"), F.count_if(~own & ~accepted).alias("foreign_refused"), F.count_if(own & ~accepted).alias("falsely_refused"),
+    )
+
+
+def traps(ranking: DataFrame, decoys: DataFrame, expected: DataFrame) -> DataFrame:
+    """``query_id``, ``trapped`` (the first answer is the declared decoy), ``right_rank`` (place of the first expected one; null: not returned). ``decoys``: ``query_id``, ``decoy``."""
+    first = ranking.where("rank = 1").select("query_id", F.col("doc_id").alias("head"))
+    right = ranking.join(expected, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("right_rank"))
+    return decoys.join(first, "query_id", "left").join(right, "query_id", "left").select("query_id", F.coalesce(F.col("head") == F.col("decoy"), F.lit(False)).alias("trapped"), "right_rank")
+
+
 def displacement(pairs: DataFrame, rankings: DataFrame) -> DataFrame:
     """For pairs (``a``, ``b``): same first three, documents in common at 3 and 5; pairs silent on both sides are left out."""
     none = F.array().cast("array<bigint>")

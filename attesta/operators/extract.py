@@ -173,7 +173,7 @@ def chunks(text: Column, limit: int, header: Column | None = None) -> Column:
 
 def headed_chunks(text: Column, header: Column, limit: int = 600) -> Column:
     """Paragraphs joined by spaces under a repeated header; only paragraph lengths count; an empty article keeps its header."""
-    paras = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: p != "")
+    paras = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
     def step(s: Column, p: Column) -> Column:
@@ -188,6 +188,12 @@ def headed_chunks(text: Column, header: Column, limit: int = 600) -> Column:
     return F.when(F.size(out) > 0, F.transform(out, lambda p: F.concat(header, p))).otherwise(F.array(F.trim(header)))
 
 
+def granular(text: Column, header: Column, headed: bool = True, cut: int | None = None) -> Column:
+    """The passages of an article: whole or cut to pieces of ``cut`` characters, each under its header or bare."""
+    pieces = F.array(text) if cut is None else chunks(text, cut)
+    return F.transform(pieces, lambda p: F.concat(header, F.lit("\n"), p)) if headed else pieces
+
+
 def without_header(passage: Column, header: Column) -> Column:
     """The passage without its exact header, for ablations."""
     return F.when(F.startswith(passage, header), F.substr(passage, F.length(header) + 1)).otherwise(passage)

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Weight of each family, the threshold, and the families' names in sentences.
@@ -98,6 +98,13 @@ def labels(names: Column) -> Column:
     return F.array_join(F.transform(names, lambda n: F.element_at(table, n)), ", ")
 
 
+def rule_counts(spark: SparkSession) -> DataFrame:
+    """``family``, ``n_rules``, ``weight`` of the rule table."""
+    rules = spark.createDataFrame([(n, f) for n, f, _, _ in RULES], "rule string, family string")
+    weights = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
+    return rules.groupBy("family").agg(F.count("*").alias("n_rules")).withColumn("weight", F.element_at(weights, F.col("family")))
+
+
 def examine(questions: DataFrame, column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``questions`` with ``traces``, ``families``, ``score``, ``flagged``, ``why`` (for the user) and ``observation`` (for the prompt; not a byte of the user's)."""
     out = questions.withColumn("traces", matched(F.col(column)))

@@ -52,6 +52,14 @@ def decide(proximity: Column, n_articles: Column, threshold: float = PROXIMITY)
     return (n_articles > 0) & (proximity >= threshold)
 
 
+def gated(ranking: DataFrame, queries: DataFrame, least_margin: float = 0.0, agreeing: DataFrame | None = None, degenerate: float = 1.0) -> DataFrame:
+    """``ranking`` of the queries whose own margin reaches ``least_margin`` and, where given, whose arms agree (``agree`` above 0); a single result is sure of itself."""
+    kept = of_dense(queries, ranking, degenerate).where(F.round("margin", 9) >= least_margin).select("query_id")
+    if agreeing is not None:
+        kept = kept.join(agreeing.where("agree > 0").select("query_id"), "query_id", "left_semi")
+    return ranking.join(kept, "query_id", "left_semi")
+
+
 def refusal(coverage: Column, agree: Column, unknown: Column, floor: float = COVERAGE_FLOOR) -> Column:
     """Reasons to refuse, joined; empty when there is none. ``unknown``: array of words."""
     few = F.when(coverage < floor, F.concat(F.lit("mots absents du Code du travail : "), F.array_join(unknown, ", ")))

@@ -79,6 +79,25 @@ def frontier_of_two(cases: DataFrame, left: str, right: str) -> DataFrame:
     return best.select("false_accepts", "m.false_refusals", "m.a", "m.b")
 
 
+def few_false_accepts(cases: DataFrame, left: str, right: str, most: int = 4) -> DataFrame:
+    """The points of the two-signal frontier with at most ``most`` false accepts."""
+    return frontier_of_two(cases, left, right).where(F.col("false_accepts") <= most)
+
+
+def panel(cases: DataFrame, ids: list, signals: tuple[str, ...], signal: str, threshold: float) -> DataFrame:
+    """Named cases with their signals and what the threshold decides for them."""
+    return cases.where(F.col("id").isin(*ids)).select("id", "own", *signals, F.when(F.col(signal) >= threshold, "repond").otherwise("se tait").alias("verdict"))
+
+
+def signal_sweep(rows: DataFrame, signals: tuple[str, ...], grid: tuple[float, ...]) -> DataFrame:
+    """``signal``, ``threshold``, ``returned``, ``right``, ``wrong``, ``precision``, ``avoided`` (wrong ones kept silent) over a fixed grid (``rows``: the signals and ``correct``); one pass."""
+    cells = [(s, t) for s in signals for t in grid]
+    ok = F.col("correct")
+    row = rows.agg(F.count_if(~ok).alias("wrong_all"), *[x for i, (s, t) in enumerate(cells) for x in (F.count_if((F.col(s) >= t) & ok).alias(f"r{i}"), F.count_if((F.col(s) >= t) & ~ok).alias(f"w{i}"))])
+    parts = [F.struct(F.lit(s).alias("signal"), F.lit(t).alias("threshold"), (F.col(f"r{i}") + F.col(f"w{i}")).alias("returned"), F.col(f"r{i}").alias("right"), F.col(f"w{i}").alias("wrong"), F.round(F.try_divide(F.col(f"r{i}"), F.col(f"r{i}") + F.col(f"w{i}")), 6).alias("precision"), (F.col("wrong_all") - F.col(f"w{i}")).alias("avoided")) for i, (s, t) in enumerate(cells)]
+    return row.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+
+
 def recall_under(cases: DataFrame, accept: Column, *recalls: str) -> list[Column]:
     """Macro recalls of own cases when refusing scores 0."""
     return [F.round(F.avg(F.when(F.col("own"), F.when(accept, F.col(r)).otherwise(0.0))), 6).alias(r) for r in recalls]

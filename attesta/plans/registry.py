@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import importlib
 import inspect
+import statistics
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions import text as T
 from attesta.operators import evaluate as E
+from attesta.operators import guard as K
 from attesta.operators import signals as G
 
 
@@ -66,6 +69,50 @@ def gate(report: DataFrame, anomalies: DataFrame | None = None, **least: float)
     return BROKEN if any(row[m] is None or row[m] < v for m, v in least.items()) else OK
 
 
+def timed(build: Callable[[], DataFrame], passes: int = 50) -> float:
+    """Median seconds of ``passes`` runs of ``build``, results thrown away."""
+    took = []
+    for _ in range(passes):
+        began = time.perf_counter()
+        build().write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - began)
+    return statistics.median(took)
+
+
+def adapted(writer: Callable) -> Callable[[str, list[str]], str]:
+    """A writer of one argument (the question) or two (and what was retrieved), as one of two."""
+    wanted = [p for p in inspect.signature(writer).parameters.values() if p.default is p.empty and p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
+    if len(wanted) not in (1, 2):
+        raise TypeError(f"a writer takes the question, or the question and what was retrieved; this one takes {len(wanted)} arguments")
+    return (lambda question, retrieved: writer(question)) if len(wanted) == 1 else writer
+
+
+class Writer(Protocol):
+    """A question and the retrieved identifiers in, a draft out; failures are ``WriterError``."""
+
+    def __call__(self, question: str, retrieved: list[str]) -> str: ...
+
+
+class Searcher(Protocol):
+    """Questions in, a ranking with its signals out (``proximity``, ``margin``)."""
+
+    def __call__(self, questions: DataFrame) -> DataFrame: ...
+
+
+def register(spark: SparkSession) -> None:
+    """The functions a SQL user needs, as temporary SQL functions: no Python runs behind them.
+
+    ``strip_accents(text)``, ``text_tokens(text)``, ``dot_product(a, b)``, and the table functions
+    ``article_range(first, last)`` and ``text_chunks(text, size)`` (paragraphs cut at ``size``).
+    """
+    quote = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"create or replace temporary function strip_accents(t string) returns string return lower(translate(t, '{quote(T.FOLD_FROM)}', '{quote(T.FOLD_TO)}'))")
+    spark.sql("create or replace temporary function text_tokens(t string) returns array<string> return filter(split(strip_accents(t), '[^0-9a-z]+'), x -> x <> '')")
+    spark.sql("create or replace temporary function dot_product(a array<double>, b array<double>) returns double return aggregate(zip_with(a, b, (x, y) -> x * y), cast(0 as double), (s, x) -> s + x)")
+    spark.sql(f"create or replace temporary function article_range(a int, b int) returns table(numero string) return select case when i = 1 then 'premier' else cast(i as string) end from (select explode(case when b > a and b - a <= {K.WIDEST_RANGE} then sequence(a, b) else array(a, b) end) as i)")
+    spark.sql("create or replace temporary function text_chunks(t string, size int) returns table(place int, chunk string) return select p, substr(t, p * size + 1, size) from (select explode(sequence(0, greatest((length(t) - 1) div size, 0))) as p)")
+
+
 class WriterError(RuntimeError):
     """A writer failed. Not an abstention: the cause is kept with the row."""
 
@@ -73,13 +120,14 @@ class WriterError(RuntimeError):
 def written(rows: DataFrame, writer: Callable[[str, list[str]], str], question: str = "text", retrieved: str = "retrieved") -> DataFrame:
     """``rows`` (already filtered to those that may be answered) with ``draft`` and ``failure``; the writer is called once a row, in Arrow batches."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "draft string", "failure string"])
+    write = adapted(writer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             drafts, failures = [], []
             for q, r in zip(b[question], b[retrieved], strict=True):
                 try:
-                    drafts.append(writer(q, list(r)))
+                    drafts.append(write(q, list(r)))
                     failures.append(None)
                 except WriterError as e:
                     drafts.append(None)

@@ -164,10 +164,13 @@ def oracle_arm(spark, d):
     return U.best_arm(lexical_arm(spark, d), dense_arm(spark, d), I.expected(spark, d))
 
 
-@query(" union all ".join(f"select {c} as constant, {dep} as depth, * from (with {_arms(dep)}, {_rrf(c, 3)} select * from rrf)" for c, dep in ((1, 50), (20, 50), (60, 10), (120, 20))))
+SWEEP = (1, 2, 5, 10, 20, 120)
+
+
+@query(" union all ".join(f"select {c} as constant, {dep} as depth, * from (with {_arms(dep)}, {_rrf(c, 3)} select * from rrf)" for c in SWEEP for dep in (10, 20)))
 def rrf_sweep(spark, d):
     out = None
-    for c, dep in ((1, 50), (20, 50), (60, 10), (120, 20)):
+    for c, dep in [(c, dep) for c in SWEEP for dep in (10, 20)]:
         part = U.rrf(lexical_arm(spark, d, dep), dense_arm(spark, d, dep), k=3, constant=c).select(F.lit(c).alias("constant"), F.lit(dep).alias("depth"), "query_id", "doc_id", "score", "rank")
         out = part if out is None else out.unionByName(part)
     return out

@@ -37,6 +37,22 @@ def write_corpus(articles: DataFrame, header: DataFrame, path: str) -> None:
     header.write.mode("overwrite").json(f"{path}/header")
 
 
+def as_lines(report: DataFrame, title: str) -> DataFrame:
+    """``line``: a report table as text: a title, the column names, and a row a line, columns of equal width."""
+    names = report.columns
+    text = report.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("–")).alias(c) for c in names])
+    row = text.agg(*[F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(c) for c in names]).first()
+    widths = {c: row[c] or len(c) for c in names}
+    line = F.concat_ws("  ", *[F.rpad(c, widths[c], " ") for c in names])
+    head = report.sparkSession.createDataFrame([(0, title), (1, "  ".join(c.ljust(widths[c]) for c in names))], "n int, line string")
+    return head.unionByName(text.orderBy(*names).select(F.lit(2).alias("n"), line.alias("line"))).orderBy("n", "line").select(F.rtrim("line").alias("line"))
+
+
+def write_text_report(report: DataFrame, title: str, path: str) -> None:
+    """The report as one text file: reports are small, one row a measure."""
+    as_lines(report, title).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,31 @@ def read_index(spark: SparkSession, path: str, seal: str, model: str) -> DataFra
     return vectors
 
 
+#: Session setting that overrides where an index lies.
+PATH_SETTING = "spark.attesta.index.path"
+
+
+def index_path(spark: SparkSession, default: str) -> str:
+    """Where the index lies: as the session's setting says, else ``default``."""
+    return (spark.conf.get(PATH_SETTING, "") or default).rstrip("/")
+
+
+# Models with the prefixes their queries and passages take, as their authors publish them.
+PREFIXES = {
+    "google/embeddinggemma-300m": ("task: search result | query: ", "title: none | text: "),
+    "intfloat/multilingual-e5-large": ("query: ", "passage: "),
+    "minishlab/potion-multilingual-128M": ("", ""),
+    "sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2": ("", ""),
+}
+
+
+def prefixed(text: Column, model: str, query: bool) -> Column:
+    """What a model is given: its prefix for the role, then the text."""
+    if model not in PREFIXES:
+        raise KeyError(f"no prefixes registered for {model}")
+    return F.concat(F.lit(PREFIXES[model][0 if query else 1]), text)
+
+
 def adopt(vectors: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """Existing vectors, if all have unit norm within ``tolerance``."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

@@ -3,6 +3,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 REPO = str(Path(__file__).resolve().parent.parent)
@@ -29,7 +30,7 @@ def plain(v):
     """Values of either engine in one form."""
     if hasattr(v, "tolist"):
         v = v.tolist()
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if isinstance(v, float):
         return v if math.isinf(v) else round(v, 6) + 0.0

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as T
 from attesta.operators import accents as A
+from attesta.operators import answer as W
 from attesta.operators import dense as D
 from attesta.operators import extract as X
+from attesta.operators import lexical as L
 from attesta.operators import thresholds as P
 from attesta.sources import vectors as V
 from attesta.streaming import rate_limit
@@ -139,3 +141,87 @@ def test_question_set_validation(spark):
     ]
     got = {(r.id, r.anomaly) for r in C.validate_questions(spark.createDataFrame(rows, C.QUESTION), spark.createDataFrame([("1",)], "numero string")).collect()}
     assert got == {("b", "attendu_et_tolere"), ("a", "paire_non_reciproque"), ("c", "question_vide"), ("f", "volets_desequilibres"), ("e", "article_inconnu"), ("e", "famille_sur_repondable")}
+
+
+def test_headed_chunks_equal_a_loop(spark):
+    texts = ["un\n deux \n\ntrois " + "x" * 30, "", "   ", "a" * 50 + "\n" + "b" * 5, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.headed_chunks(F.col("t"), F.lit("T. "), 20).alias("c"))
+    got = {r.i: r.c for r in df.collect()}
+    for i, t in enumerate(texts[:4]):
+        done, cur, n = [], "", 0
+        for p in filter(None, (x.strip(" ") for x in t.split("\n"))):
+            if cur and n + len(p) > 20:
+                done, cur, n = [*done, cur], "", 0
+            cur, n = (f"{cur} {p}" if cur else p), n + len(p)
+        assert got[i] == (["T. " + c for c in [*done, *([cur] if cur else [])]] or ["T."])
+
+
+def test_footnotes_open_in_sequence_only(spark):
+    lines = ["Avant", "1 - Première note", "suite de 1999", "3 - trompeuse", "2 – Deuxième", "2 répétée", "3. non", "3 Troisième"]
+    df = spark.createDataFrame([("d", n, t) for n, t in enumerate(lines)] + [("e", 0, "rien")], "doc string, n int, text string")
+    got = [tuple(r) for r in X.footnotes(df).orderBy("doc", "note").collect()]
+    assert got == [("d", 1, "Première note suite de 1999 3 - trompeuse"), ("d", 2, "Deuxième 2 répétée 3. non"), ("d", 3, "Troisième")]
+
+
+def test_digest_is_blake2b_of_eight_bytes(spark):
+    import hashlib
+
+    texts = ["", "Quelle est la durée du congé ?", "漢字" * 100, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = [None if r[0] is None else int(r[0]) for r in df.select(W.digest(F.col("t"))).collect()]
+    assert got[:3] == [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") for t in texts[:3]]
+
+
+def test_stored_index_gives_the_same_scores(spark, tmp_path):
+    rows = [(1, ["a", "b", "a"]), (2, ["b", "c"]), (3, []), (4, ["d"])]
+    bags, q = spark.createDataFrame(rows, "doc_id long, toks array<string>"), spark.createDataFrame([(0, ["a", "b", "z", "b"]), (1, [])], "query_id long, toks array<string>")
+    L.build_index(bags, str(tmp_path / "i"))
+    ix = L.open_index(spark, str(tmp_path / "i"))
+    assert L.statistics(ix).first() == L.statistics(bags).first() and ix.lengths.count() == 4
+    for f in (L.bm25, L.overlap, L.idf_overlap, L.coverage, L.saturation):
+        assert sorted(map(tuple, f(ix, q).collect())) == sorted(map(tuple, f(bags, q).collect())), f
+
+
+def test_dense_blocks_give_the_same_ranking(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 8))
+    rows = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "doc_id long, v array<double>").repartition(4)
+    q = rows.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    whole = sorted(map(tuple, L.top(D.cosine(rows, q, 5), 5).collect()))
+    monkeypatch.setattr(D, "MAX_QUERY_VALUES", 8)
+    assert sorted(map(tuple, L.top(D.cosine(rows, q, 5), 5).collect())) == whole
+    pooled = {(r.query_id, r.doc_id): r.score for r in L.top(D.pooled_cosine(rows.withColumn("numero", F.col("doc_id") % 7), q, 2), 2).collect()}
+    for i in (0, 20, 40):
+        best = sorted(((-round(float(max(v[j] @ v[i] for j in range(n, 60, 7))), 6), n) for n in range(7)))[:2]
+        assert {n: -s for s, n in best} == {n: s for (k, n), s in pooled.items() if k == i}
+
+
+def test_sql_functions_and_settings(spark):
+    import pytest
+
+    from attesta.plans import registry as R
+
+    R.register(spark)
+    row = spark.sql("select strip_accents('Été À la'), text_tokens('Le congé, payé'), dot_product(array(1D, 2D), array(3D, 4D))").first()
+    assert tuple(row) == ("ete a la", ["le", "conge", "paye"], 11.0)
+    assert [r[0] for r in spark.sql("select * from article_range(1, 3)").collect()] == ["premier", "2", "3"]
+    assert [tuple(r) for r in spark.sql("select * from text_chunks('abcde', 2) order by place").collect()] == [(0, "ab"), (1, "cd"), (2, "e")]
+    assert V.index_path(spark, "/a/b/") == "/a/b"
+    spark.conf.set(V.PATH_SETTING, "/elsewhere/")
+    assert V.index_path(spark, "/a") == "/elsewhere"
+    spark.conf.unset(V.PATH_SETTING)
+    assert spark.range(1).select(V.prefixed(F.lit("x"), "intfloat/multilingual-e5-large", True)).first()[0] == "query: x"
+    with pytest.raises(KeyError):
+        V.prefixed(F.lit("x"), "unknown", False)
+    assert R.adapted(lambda q: q + "!")("a", []) == "a!" and R.adapted(lambda q, r: q + r[0])("a", ["b"]) == "ab"
+    with pytest.raises(TypeError):
+        R.adapted(lambda: "")
+    assert R.timed(lambda: spark.range(1), 3) > 0
+
+
+def test_text_report(spark, tmp_path):
+    from attesta.sources import corpus as C
+
+    df = spark.createDataFrame([("rappel", 0.5), ("x", None)], "mesure string, valeur double")
+    C.write_text_report(df, "Bilan", str(tmp_path / "r"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["Bilan", "mesure  valeur", "rappel  0.5", "x       –"]
