@@ -11,6 +11,8 @@ directory above it (its own directory first) that holds a licence file; where a
 first by path decides. Directories are resolved once each, so that a directory with a third of all
 files costs one row in the path join.
 
+The templates travel with the tasks: there are a few dozen, whatever the corpus.
+
 Null and empty texts have no notice and may inherit. A null path has no directory and inherits nothing.
 Ties of cosine go to the first template by name. Repeated rows are judged alike.
 """

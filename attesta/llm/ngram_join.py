@@ -16,7 +16,8 @@ empty and links with nothing. Two documents link when 100 * |A and B| >= 80 * |A
    minima, and nodes and points that cannot reach the overlap a link needs are pruned. Surviving pairs that nothing joins yet are
    verified on the sets themselves, and links give components: a group of near copies costs about one comparison a copy.
 4. Blocks that still hold several components are searched by the R-tree once more, on stored vectors of ``GROUPS``
-   coordinates; of blocks of the same documents one is enough. Components that
+   coordinates; of blocks of the same documents one is enough. Keys of more than ``TILE`` such sets (a passage that many
+   documents share, say) give way to the sets' next keys, as if they came last in the order of 2. Components that
    survive together form a canopy, of which a task reports a spanning forest, not all pairs. The sets of
    a canopy's documents then meet (large canopies and blocks as pairs of tiles) as in 3.
 5. Components come from alternating star contraction over the links, written to the shared folder each round.
@@ -31,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import shuffle_partitions, small_batches, spent, stored
@@ -110,11 +111,11 @@ def size_classes(n: int) -> list[int]:
     return [own] if least.bit_length() - 1 == own else [own - 1, own]
 
 
-def blocking_keys(s: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The group contents (hashed) under which a set meets every set it links with, and whether it fills too few groups for that to hold."""
-    n, out, few = len(s), [], False
+def blocking_keys(s: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """For each size class the group contents (hashed) under which a set meets every set it links with, as many more that come next, and whether it fills too few groups for the first to suffice."""
+    n, out, spare, few = len(s), [], [], False
     if not n:
-        return s, few
+        return out, spare, few
     limit = n * (DEN - NUM) // NUM  # most elements in which a linked set can differ
     for k in size_classes(n):
         tag = np.uint64((k * 0x2545F4914F6CDD1D + 0x1234567) & (2**64 - 1))
@@ -128,13 +129,11 @@ def blocking_keys(s: np.ndarray) -> tuple[np.ndarray, bool]:
             sums = np.add.reduceat(mix(s[order] + np.uint64(0x5851F42D4C957F2D)), head)
             counts = np.diff(np.append(head, n))
         keys = mix(sums ^ tag)
-        if len(keys) > limit + 1:
-            best = np.lexsort((keys, -counts))[: limit + 1]
-            keys = keys[best]
-        elif len(keys) <= limit:
-            few = True
-        out.append(keys)
-    return np.concatenate(out), few
+        keys = keys[np.lexsort((keys, -counts))[: 2 * limit + 2]]
+        few |= len(keys) <= limit
+        out.append(keys[: limit + 1])
+        spare.append(keys[limit + 1 :])
+    return out, spare, few
 
 
 def groups_for(least: int) -> int:
@@ -152,8 +151,8 @@ def needed(n: np.ndarray | int, m: np.ndarray | int):
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n``, ``print`` (of the set) and, for the first of equal sets in a task, ``keys``, ``few`` and ``counts``."""
-    schema = "doc_id long, n long, print binary, keys array<long>, few boolean, counts binary"
+    """``doc_id``, ``n``, ``print`` (of the set) and, for the first of equal sets in a task, ``keys`` and ``spare`` by size class, ``few`` and ``counts``."""
+    schema = "doc_id long, n long, print binary, keys array<array<long>>, spare array<array<long>>, few boolean, counts binary"
 
     def run(batches):
         seen: set[bytes] = set()
@@ -163,21 +162,26 @@ def sets(docs: DataFrame) -> DataFrame:
                 s = shingles(t)
                 p = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 if p is None or d is None or p in seen:
-                    rows.append((len(s), p, None, None, None))
+                    rows.append((len(s), p, None, None, None, None))
                 else:
                     seen.add(p)
-                    keys, few = blocking_keys(s)
-                    rows.append((len(s), p, keys.view(np.int64), few, count_vector(s).tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "print", "keys", "few", "counts"])
+                    keys, spare, few = blocking_keys(s)
+                    rows.append((len(s), p, [k.view(np.int64) for k in keys], [k.view(np.int64) for k in spare], few, count_vector(s).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            lists = pa.list_(pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.binary(), lists, lists, pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "print", "keys", "spare", "few", "counts"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
-def _blocks(base: DataFrame, parts: int) -> DataFrame:
+def _keys(base: DataFrame) -> DataFrame:
+    return base.select(F.explode(F.flatten("keys")).alias("key"), "doc_id")
+
+
+def _blocks(keys: DataFrame, parts: int) -> DataFrame:
     """``key``, ``doc_id``, ``head`` of every key that at least two sets share; ``head`` is the smallest identifier of the block."""
-    rows = base.select(F.explode("keys").alias("key"), "doc_id").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    rows = keys.select("key", "doc_id").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
 
     def run(batches):
         # Of the block that the last batch ended in: its key, its head, and whether only the head has been seen.
@@ -362,14 +366,51 @@ def _tiled(rows: DataFrame, group: str, *cols: str) -> DataFrame:
     return dealt.select(group, F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", *cols)
 
 
-def _mixed(blocks: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of the blocks that hold several components: ``key``, ``doc_id``, ``comp``, ``tiles``; of blocks of the same documents one is kept."""
-    placed = stored(blocks.sparkSession, blocks.select("key", "doc_id").join(comp.hint("merge"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "ngram-placed")
-    own = F.xxhash64("doc_id")
-    seen = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), F.min("doc_id").alias("z")).where("lo < hi")
-    mixed = seen.groupBy("m", "x", "y", "z").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    out = stored(blocks.sparkSession, placed.join(mixed.hint("merge"), "key"), "ngram-mixed")
-    spent(placed)
+def _placed(blocks: DataFrame, comp: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of blocks with their ``comp``, and of the blocks that hold several: ``key``, size ``m`` and a print of the documents (``x``, ``y``, ``z``)."""
+    spark = blocks.sparkSession
+    placed = stored(spark, blocks.select("key", "doc_id").join(comp.hint("merge"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), f"ngram-placed{name}")
+    seen = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), F.min("doc_id").alias("z"))
+    return placed, stored(spark, seen.where("lo < hi").drop("lo", "hi"), f"ngram-seen{name}")
+
+
+def _cooled(base: DataFrame, placed: DataFrame, hot: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(blocks that stand in for the ``hot`` keys, the hot keys that must stay, tables to delete when done).
+
+    In the order of keys hot ones may as well come last: a set with ``h`` of them among its first keys takes its next ``h`` that are not
+    hot, so linked sets still share one of as many keys as they can differ in and one more. A set without so many left is short, and the hot blocks it is in stay.
+    """
+    spark = base.sparkSession
+    hits = stored(spark, placed.join(hot.hint("merge"), "key").groupBy("doc_id").agg(F.count("*").alias("h")), "ngram-hits")
+    own = base.where("keys is not null").select("doc_id", "spare").join(hits.hint("merge"), "doc_id").select("doc_id", "h", F.posexplode("spare").alias("class", "list"))
+    fresh = own.select("doc_id", "h", "class", F.posexplode("list").alias("at", "key")).join(hot.hint("merge"), "key", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "class").orderBy("at"))
+    extra = stored(spark, fresh.withColumn("nth", nth).where("nth <= h").select("key", "doc_id", "class", "h"), "ngram-extra")
+    enough = extra.groupBy("doc_id", "class").agg(F.count("*").alias("got")).join(hits.hint("merge"), "doc_id").where("got >= h").select("doc_id", "class")
+    short = own.join(enough.hint("merge"), ["doc_id", "class"], "left_anti").select("doc_id").distinct()
+    stay = stored(spark, placed.join(hot.hint("merge"), "key").join(short.hint("merge"), "doc_id", "left_semi").select("key").distinct(), "ngram-stay")
+    asked = extra.select("key").distinct()
+    meet = possible(_keys(base), asked).join(asked.hint("merge"), "key", "left_semi").unionByName(extra.select("key", "doc_id"))
+    return stored(spark, _blocks(meet, parts), "ngram-blocks"), stay, [hits, extra, stay]
+
+
+def _mixed(base: DataFrame, blocks: DataFrame, comp: DataFrame, parts: int) -> DataFrame:
+    """Rows of the blocks that hold several components: ``key``, ``doc_id``, ``comp``, ``tiles``; of blocks of the same documents one is kept, and large ones give way to others where they can."""
+    spark = blocks.sparkSession
+    placed, seen = _placed(blocks, comp, "")
+    used = [placed, seen]
+    hot = seen.where(F.col("m") > TILE).select("key")
+    if not hot.isEmpty():
+        others, stay, more = _cooled(base, placed, hot, parts)
+        placed2, seen2 = _placed(others, comp, "-cooled")
+        used += [others, placed2, seen2, *more]
+        seen = seen.where(F.col("m") <= TILE).unionByName(seen.join(stay, "key", "left_semi")).withColumn("part", F.lit(0)).unionByName(seen2.withColumn("part", F.lit(1)))
+        placed = placed.withColumn("part", F.lit(0)).unionByName(placed2.withColumn("part", F.lit(1)))
+    else:
+        seen, placed = seen.withColumn("part", F.lit(0)), placed.withColumn("part", F.lit(0))
+    kept = seen.groupBy("m", "x", "y", "z").agg(F.min(F.struct("part", "key")).alias("k")).select("k.part", "k.key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    out = stored(spark, placed.join(kept.hint("merge"), ["part", "key"]).drop("part"), "ngram-mixed")
+    spent(*used)
     return out
 
 
@@ -451,14 +492,14 @@ def components(docs: DataFrame) -> DataFrame:
     base = stored(spark, sets(docs), "ngram-sets")
     # Written, so that the joins by print exchange plain rows, of which Spark can split a hot one.
     classes = stored(spark, base.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    blocks = stored(spark, _blocks(base, parts), "ngram-blocks")
+    blocks = stored(spark, _blocks(_keys(base), parts), "ngram-blocks")
     # Equal sets met in different tasks are linked without looking.
     same = base.where("keys is not null").select("doc_id", "print").join(classes.hint("merge"), "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     stars = blocks.where("doc_id <> head").groupBy("doc_id", "head").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
     pairs, more = stars.select(F.col("doc_id").alias("a"), F.col("head").alias("b")), _unblocked(base)
     links = stored(spark, verify(docs, pairs.unionByName(more) if more else pairs, parts).unionByName(same), "ngram-links")
     comp = connect(spark, links)
-    mixed = _mixed(blocks, comp)
+    mixed = _mixed(base, blocks, comp, parts)
     spent(blocks)
     near = stored(spark, _canopies(base, mixed, parts), "ngram-near")
     if not near.isEmpty():

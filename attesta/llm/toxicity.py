@@ -9,7 +9,7 @@ three aggregates of the marginals (expected number of toxic tokens, largest marg
 maps to a document score.
 
 The fit uses at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled rows, the first by a hash
-of their identifier, and ``MAX_WINDOWS`` windows of them; scoring reads every row and whole texts. Labels, language, source and
+of their identifier, of either class as many as hold ``MAX_BYTES`` of text, and ``MAX_WINDOWS`` windows of them; scoring reads every row and whole texts. Labels, language, source and
 identifier are never inputs of a score.
 
 Null and empty texts have no tokens and get the curve's value at zero. Without both classes in the
@@ -25,12 +25,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import small_batches
 
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
+#: Bytes of text of either class in the sample.
+MAX_BYTES = 48 << 20
 PREFIXES = (4, 5, 6)
 WINDOW = 6
 MAX_WINDOWS = 9000
@@ -318,11 +320,13 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out; only that sample reaches the driver."""
+    """Fit on a sample of the labelled rows that are not held out, bounded in rows and bytes; only that sample reaches the driver."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     pick = lambda y, k: usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
     chosen = pick(1, max_toxic).unionByName(pick(0, max_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    size = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = met.withColumn("size", size).where(F.col("size") <= MAX_BYTES).select("doc_id", "text", "y").collect()
     return fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y, r.text or ""))])
 
 

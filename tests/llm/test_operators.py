@@ -274,8 +274,9 @@ def test_blocking_keys_meet_at_the_threshold():
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
             inter = len(a) - drop
             assert 100 * inter >= 80 * (len(a) + len(b) - inter)
-            (keys, few), (others, _) = ngram_join.blocking_keys(np.sort(a)), ngram_join.blocking_keys(b)
-            assert few or set(keys) & set(others), n
+            (keys, spare, few), (others, _, _) = ngram_join.blocking_keys(np.sort(a)), ngram_join.blocking_keys(b)
+            assert few or set(np.concatenate(keys)) & set(np.concatenate(others)), n
+            assert all(len(x) == len(a) // 4 + 1 and not set(x) & set(y) for x, y in zip(keys, spare, strict=True))
 
 
 def test_sets_that_fill_few_groups_meet_all_of_their_size(spark):
@@ -283,7 +284,7 @@ def test_sets_that_fill_few_groups_meet_all_of_their_size(spark):
     k = 6
     tag = np.uint64((k * 0x2545F4914F6CDD1D + 0x1234567) & (2**64 - 1))
     bad = alike[(ngram_join.mix(alike ^ tag) % np.uint64(1 << k)) < 8][:100]  # all in 8 of 64 groups
-    assert len(bad) == 100 and ngram_join.blocking_keys(bad)[1] and not ngram_join.blocking_keys(alike[:100])[1]
+    assert len(bad) == 100 and ngram_join.blocking_keys(bad)[2] and not ngram_join.blocking_keys(alike[:100])[2]
     base = spark.createDataFrame([(1, 100, [1], True), (2, 120, [2], False), (3, 81, [3], False), (4, 79, [4], False), (5, 126, [5], False), (6, 100, None, None)], "doc_id long, n long, keys array<long>, few boolean")
     assert sorted(map(tuple, ngram_join._unblocked(base).collect())) == [(2, 1), (3, 1)]
     assert ngram_join._unblocked(base.where("not few")) is None
