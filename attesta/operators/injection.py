@@ -59,6 +59,10 @@ SAY_BELOW = "Cette question contient %s — par exemple « %s » — mais le sco
 SAY_OBSERVED = "Cette question contient %s, pour un score de %d contre un seuil de %d : la question de droit du travail est traitée, ces tournures ne sont pas des ordres."
 
 
+# How blanks are squeezed before rules look at a text, in one line or line by line.
+BLANKS, BLANKS_IN_LINE, LINE_ENDS = r"\s+", r"[^\S\n\r]+", r"\s*[\n\r]+\s*"
+
+
 def _plain(text: str) -> str:
     t = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
     return t.translate({ord(c): "'" for c in "’‘ʼ"})
@@ -67,10 +71,10 @@ def _plain(text: str) -> str:
 def traces(text: str | None) -> list[tuple[str, str, str]]:
     """(rule, family, fragment) of every rule that matches, in table order."""
     plain = _plain(text or "")
-    flat = re.sub(r"\s+", " ", plain)
-    lines = re.sub(r"\s*[\n\r]+\s*", "\n", re.sub(r"[^\S\n\r]+", " ", plain)).strip()
+    flat = re.sub(BLANKS, " ", plain)
+    lines = re.sub(LINE_ENDS, "\n", re.sub(BLANKS_IN_LINE, " ", plain)).strip()
     hits = ((name, family, re.search(rule, lines if by_line else flat)) for name, family, rule, by_line in RULES)
-    return [(name, family, re.sub(r"\s+", " ", m[0]).strip()) for name, family, m in hits if m]
+    return [(name, family, re.sub(BLANKS, " ", m[0]).strip()) for name, family, m in hits if m]
 
 
 def matched(text: Column) -> Column:

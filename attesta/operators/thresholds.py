@@ -129,13 +129,19 @@ def quantiles(cases: DataFrame, value: str, by: str) -> DataFrame:
     return linear.join(places, "g").select("g", "n", *map(r, ("lo", "median", "upper_median", "p95", "p95_index", "hi")))
 
 
-def exclusive_quantile(sorted_values: Column, p: float) -> Column:
-    """The exclusive method over a sorted array of at least two: position p (n + 1), clamped, linear between."""
-    n = F.size(sorted_values)
-    pos = F.least(F.greatest(F.lit(p) * (n + 1), F.lit(1.0)), n.cast("double"))
-    lo = F.floor(pos).cast("int")
-    a, b = F.get(sorted_values, lo - 1), F.get(sorted_values, F.least(lo, n - 1))
-    return a + (b - a) * (pos - lo)
+def exclusive_quantiles(cases: DataFrame, value: str, by: str, ps: tuple[float, ...]) -> DataFrame:
+    """``g``, ``p``, ``value`` by the exclusive method, for groups of at least two: position p (n + 1), clamped, linear between; from counted values."""
+    each = cases.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = each.groupBy("g").agg(F.sum("c").alias("n")).where("n > 1")
+    rows = each.withColumn("upto", upto).join(small(sizes), "g")
+    n = F.col("n")
+    places = [F.least(F.greatest(F.lit(p) * (n + 1), F.lit(1.0)), n.cast("double")) for p in ps]
+    at = lambda i: F.min(F.when(F.col("upto") >= i, F.col("v")))
+    found = rows.groupBy("g", "n").agg(*[x for i, pos in enumerate(places) for x in (at(F.floor(pos)).alias(f"a{i}"), at(F.least(F.floor(pos) + 1, n)).alias(f"b{i}"))])
+    between = lambda i: F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (places[i] - F.floor(places[i]))
+    parts = F.array(*[F.struct(F.lit(p).alias("p"), F.round(between(i), 6).alias("value")) for i, p in enumerate(ps)])
+    return found.select("g", F.explode(parts).alias("x")).select("g", "x.*")
 
 
 def histogram(cases: DataFrame, value: str, edges: tuple[float, ...], by: str) -> DataFrame:

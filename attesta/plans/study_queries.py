@@ -103,9 +103,7 @@ def signal_histogram(spark, d):
 
 @query(f"with {_C}, s as (select own as g, list(length order by length) as v, count(*) as n from c group by own having count(*) > 1), q as (select g, n, v, p, least(greatest(p * (n + 1), 1.0::double), n::double) as pos from s cross join (select unnest([0.1::double, 0.25, 0.5, 0.75, 0.9]) as p)) select g, p, round(v[floor(pos)::bigint] + (v[least(floor(pos)::bigint + 1, n)] - v[floor(pos)::bigint]) * (pos - floor(pos)), 6) as value from q")
 def exclusive_quantiles(spark, d):
-    s = cases(spark, d).groupBy(F.col("own").alias("g")).agg(F.array_sort(F.collect_list("length")).alias("v")).where(F.size("v") > 1)
-    parts = F.array(*[F.struct(F.lit(p).alias("p"), F.round(P.exclusive_quantile(F.col("v"), p), 6).alias("value")) for p in (0.1, 0.25, 0.5, 0.75, 0.9)])
-    return s.select("g", F.explode(parts).alias("x")).select("g", "x.*")
+    return P.exclusive_quantiles(cases(spark, d), "length", "own", (0.1, 0.25, 0.5, 0.75, 0.9))
 
 
 @query(f"with {_C}, o as (select distinct length as v from c), n as (select v, row_number() over (order by v) - 1 as i, count(*) over () as m from o), k as (select v from n where i % greatest(m // 10, 1) = 0) select v as threshold, count(*) filter (not own and length >= v) as false_accepts, count(*) filter (own and length < v) as false_refusals from k cross join c group by v")
