@@ -162,10 +162,14 @@ ac as (select *, sure as drafted, list_transform(raw, lambda x: case when x = '1
 fl as (select *, drafted and len(cited) > 0 and len(list_filter(cited, lambda x: not list_contains(retrieved, x))) = 0 as served, drafted and len(list_filter(cited, lambda x: not list_contains(retrieved, x))) > 0 as hallucinated, drafted and len(cited) = 0 as uncited from ac)"""
 
 
+#: Identifiers of documents are numbers of any length, unlike those of the Code.
+IDENTIFIER_DIGITS = 18
+
+
 def answered(spark, d):
     """Every question answered by a stand-in writer whose mode follows the identifier; the guard decides."""
     got = R.composed(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s.doc_id.cast("string")).alias("retrieved"))
-    n = I.documents(spark, d).count()
+    n = I.table(spark, d, "documents").count()
     none = F.array().cast("array<string>")
     ev = R.evaluated(spark, d).select("query_id", "sure", F.transform("want", lambda x: x.cast("string")).alias("expected"))
     rows = ev.join(got, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", none))
@@ -173,7 +177,7 @@ def answered(spark, d):
     mode = F.get(F.array(*map(F.lit, W.MODES)), (F.col("query_id") % 4).cast("int"))
     rows = rows.withColumns({"intruder": W.intruder(F.col("query_id"), n, F.col("retrieved")), "mode": mode})
     rows = rows.withColumn("draft", F.when(F.col("sure"), W.draft(F.col("mode"), head, F.col("intruder"))))
-    rows = rows.withColumn("r", K.citations(F.col("draft"))).select("*", F.col("r.citations").alias("cited"), F.col("r.unreadable").alias("unreadable")).drop("r")
+    rows = rows.withColumn("r", K.citations(F.col("draft"), IDENTIFIER_DIGITS)).select("*", F.col("r.citations").alias("cited"), F.col("r.unreadable").alias("unreadable")).drop("r")
     return W.compose(rows).withColumns({"tolerated": none, "drafted": F.col("sure")})
 
 

@@ -54,3 +54,10 @@ def test_verdict_order(spark):
     assert [v.motive for v in out] == [K.EMPTY, K.UNREAD, K.UNCITED, K.INVENTED, None]
     assert [v.accepted for v in out] == [False] * 4 + [True]
     assert "l'article 2, qui ne figure pas parmi le seul article retrouvé" in out[3].reason
+
+
+def test_numbers_as_long_as_the_corpus_has_them(spark):
+    rows = [("L'article 123456 du Code",), ("Les articles 99999 et 3000000000 du Code",), ("articles 12345 à 12347",), ("article 1234567890123456789",)]
+    df = spark.createDataFrame(rows, "t string").coalesce(1)
+    got = [(r.r.citations, r.r.unreadable) for r in df.select(K.citations(F.col("t"), 18).alias("r")).collect()]
+    assert got == [(["123456"], []), (["99999", "3000000000"], []), (["12345", "12346", "12347"], []), ([], ["article 1234567890123456789"])]
