@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from attesta.operators.extract import FOOTER_INSIDE, ROMAN, repealed
 
 SHORT_ARTICLE = 40
+#: Nothing but spaces, of any width.
+BLANK = r"\A\p{Zs}*\z"
 
 
 def unknown_values(rows: DataFrame, column: str, known: tuple) -> DataFrame:
@@ -35,7 +37,7 @@ def unplaced(articles: DataFrame, upper: str, middle: str, lower: str) -> DataFr
 
 def empty_or_short(articles: DataFrame, notes: DataFrame, least: int = SHORT_ARTICLE) -> DataFrame:
     """``numero``, ``fault``, ``n_chars``: blank articles that no repeal note explains (``vide``), and others below ``least`` characters (``court``)."""
-    blank = F.trim(F.coalesce("texte", F.lit(""))) == ""
+    blank = F.coalesce("texte", F.lit("")).rlike(BLANK)
     excused = articles.join(repealed(articles, notes).select("numero").withColumn("excused", F.lit(True)), "numero", "left")
     fault = F.when(blank, F.when(F.col("excused").isNull(), "vide")).when(F.length("texte") < least, "court")
     return excused.select("numero", fault.alias("fault"), F.length(F.coalesce("texte", F.lit(""))).alias("n_chars")).where("fault is not null")
