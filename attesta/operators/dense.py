@@ -1,8 +1,8 @@
 """Dense retrieval: normalisation, exact cosine top-k, max-pooling by article, centring.
 
-Vectors are multiplied in Arrow batches: each batch of passages meets a block of the queries, of bounded size, in
-one matmul, keeps its own best per query, and only those candidates are shuffled. Nothing of
-size queries x passages is ever a row.
+Vectors are multiplied in Arrow batches: each batch of passages meets a block of the queries tile by tile, and a task
+keeps its best per query, and only those candidates are shuffled. Nothing of size queries x passages is ever a row,
+and neither a block, a tile nor what a task keeps grows with the tables.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Values (queries x dimensions) of the block of queries that travels with the tasks.
-MAX_QUERY_VALUES = 20_000_000
+MAX_QUERY_VALUES = 4_000_000
+#: Scores of one matrix product.
+TILE = 2_000_000
 DEPTH = 50
 
 
@@ -61,24 +63,61 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, names: np.ndarray, depth: int, digits: int) -> pa.RecordBatch:
-    """Of each query (row of ``scores``) the ``depth`` best names, ties by name. No name outside a batch's best can be among the best of all."""
-    rounded = -np.round(scores, digits)
-    order = np.lexsort((np.broadcast_to(names, scores.shape), rounded), axis=1)[:, :depth]
-    out = (np.repeat(ids, order.shape[1]), names[order].reshape(-1), np.take_along_axis(scores, order, 1).reshape(-1))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_id", "doc_id", "score"])
+def _cut(found: tuple[np.ndarray, ...], depth: int, digits: int, unique: bool) -> tuple[np.ndarray, ...]:
+    """Of each query (places in its block) the ``depth`` best names, ties by name; ``unique``: a name counts once, at its best."""
+    place, names, scores = found
+    if unique:
+        order = np.lexsort((-scores, names, place))
+        place, names, scores = place[order], names[order], scores[order]
+        first = np.r_[True, (place[1:] != place[:-1]) | (names[1:] != names[:-1])] if len(place) else np.zeros(0, bool)
+        place, names, scores = place[first], names[first], scores[first]
+    order = np.lexsort((names, -np.round(scores, digits), place))
+    place, names, scores = place[order], names[order], scores[order]
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+    rank = np.arange(len(place)) - np.repeat(starts, np.diff(np.r_[starts, len(place)]))
+    kept = rank < depth
+    return place[kept], names[kept], scores[kept]
 
 
-def _scan(passages: DataFrame, name: str, queries: DataFrame, best) -> DataFrame:
-    """``best(ids, names, scores)`` of every batch of passages and block of queries."""
+def _pool(names: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum of the columns of each name."""
+    order = np.argsort(names, kind="stable")
+    names, starts = np.unique(names[order], return_index=True)
+    return names, np.maximum.reduceat(scores[:, order], starts, axis=1)
+
+
+def _scan(passages: DataFrame, name: str, queries: DataFrame, depth: int, digits: int, pool: bool) -> DataFrame:
+    """``query_id``, ``doc_id`` (``name``), ``score``: of every task and query the ``depth`` best. No name outside a task's best can be among the best of all."""
     rows, out = passages.select(F.col(name).cast("long").alias("name"), F.col("v").cast("array<double>").alias("v")).where("v is not null"), None
+    near = 2 * 10.0**-digits
     for block in _query_blocks(queries):
         ids, q = _query_matrix(block)
 
-        def run(batches, ids=ids, q=q):
+        def run(batches, ids=ids, q=q, depth=depth, digits=digits, pool=pool, near=near, tile=TILE):
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            floor = np.full(len(ids), -np.inf)  # what a score must reach nearly: a query's depth-th best so far
             for b in batches:
-                if b.num_rows and len(ids):
-                    yield best(ids, b.column(0).to_numpy(zero_copy_only=False), q @ _matrix(b.column(1)).T)
+                if not (b.num_rows and len(ids)):
+                    continue
+                all_names, m, found = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1)).T, [best]
+                step = max(1, tile // b.num_rows)
+                for at in range(0, len(ids), step):
+                    names, scores = all_names, q[at : at + step] @ m
+                    if pool:
+                        names, scores = _pool(names, scores)
+                    low = floor[at : at + step]
+                    if scores.shape[1] > depth and np.isneginf(low).any():
+                        low = np.maximum(low, np.partition(scores, -depth, axis=1)[:, -depth])
+                    i, j = np.nonzero(scores >= (low - near)[:, None])
+                    piece = (i + at, names[j], scores[i, j])
+                    found.append(_cut(piece, depth, digits, pool))
+                best = _cut(tuple(map(np.concatenate, zip(*found, strict=True))), depth, digits, pool)
+                full = np.bincount(best[0], minlength=len(ids)) >= depth
+                worst = np.full(len(ids), np.inf)
+                np.minimum.at(worst, best[0], best[2])
+                floor = np.where(full, worst, -np.inf)
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "doc_id", "score"])
 
         part = rows.mapInArrow(run, "query_id long, doc_id long, score double")
         out = part if out is None else out.unionByName(part)
@@ -88,13 +127,9 @@ def _scan(passages: DataFrame, name: str, queries: DataFrame, best) -> DataFrame
 def cosine(passages: DataFrame, queries: DataFrame, depth: int = DEPTH, digits: int = 6) -> DataFrame:
     """``query_id``, ``doc_id``, ``score``: for each query a superset of its ``depth`` best passages (``doc_id``, ``v``), ties by identifier.
 
-    Each batch drops what cannot be among the best ``depth``; the exact cut is one window over what is left.
+    Each task drops what cannot be among the best ``depth``; the exact cut is one window over what is left.
     """
-
-    def best(ids, names, scores):
-        return _best(ids, np.round(scores, digits + 3), names, depth, digits)
-
-    return _scan(passages, "doc_id", queries, best).select("query_id", "doc_id", F.round("score", digits).alias("score"))
+    return _scan(passages, "doc_id", queries, depth, digits, False).select("query_id", "doc_id", F.round("score", digits).alias("score"))
 
 
 def pooled(scores: DataFrame, article: DataFrame) -> DataFrame:
@@ -105,17 +140,10 @@ def pooled(scores: DataFrame, article: DataFrame) -> DataFrame:
 def pooled_cosine(passages: DataFrame, queries: DataFrame, depth: int = DEPTH, digits: int = 6) -> DataFrame:
     """Maximum over the passages of each article (``numero``): for each query a superset of its ``depth`` best articles.
 
-    A batch pools its passages and sends its best articles only: the batch that holds a best article's best passage
-    ranks it at least as high as all batches together do.
+    A task pools its passages and sends its best articles only: the task that holds a best article's best passage
+    ranks it at least as high as all tasks together do.
     """
-
-    def best(ids, names, scores):
-        names, inverse = np.unique(names, return_inverse=True)
-        pool = np.full((len(names), len(ids)), -np.inf)
-        np.maximum.at(pool, inverse, np.round(scores.T, digits + 3))
-        return _best(ids, np.ascontiguousarray(pool.T), names, depth, digits)
-
-    return _scan(passages, "numero", queries, best).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), digits).alias("score"))
+    return _scan(passages, "numero", queries, depth, digits, True).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), digits).alias("score"))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
