@@ -8,6 +8,7 @@ from attesta.operators import answer as W
 from attesta.operators import evaluate as E
 from attesta.operators import extract as X
 from attesta.operators import lexical as L
+from attesta.operators import matrix as M
 from attesta.operators import signals as G
 from attesta.plans import answer_queries as Q
 from attesta.plans import inputs as I
@@ -63,9 +64,9 @@ select query_id, a.got[1:3] = b.got[1:3] as same_top3, cast(len(list_intersect(a
 def payload_displacement(spark, d):
     from attesta.functions.text import tokens
 
-    bags, b = I.index(spark, d), I.table(spark, d, "benchmark")
+    bags, b = I.counts(spark, d, more=_PAY), I.table(spark, d, "benchmark")
     paid = b.select(F.col("item_id").alias("query_id"), tokens(F.concat("text", F.lit(_PAY))).alias("toks"))
-    rank = lambda q: L.top(L.bm25(bags, q), 5)
+    rank = lambda q: L.top(M.bm25(bags, q, 5), 5)
     plain = G.ranked_list(rank(I.questions(spark, d)), "got")
     moved = G.ranked_list(rank(paid), "got").withColumn("query_id", F.col("query_id") + 1_000_000)
     pairs = b.select(F.col("item_id").alias("a"), (F.col("item_id") + 1_000_000).alias("b"))

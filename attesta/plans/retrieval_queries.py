@@ -9,6 +9,7 @@ from attesta.operators import dense as D
 from attesta.operators import evaluate as E
 from attesta.operators import fusion as U
 from attesta.operators import lexical as L
+from attesta.operators import matrix as M
 from attesta.operators import signals as G
 from attesta.plans import inputs as I
 from attesta.plans import sql as S
@@ -83,7 +84,7 @@ DEPTH = 50
 
 
 def lexical_arm(spark, d, depth=DEPTH):
-    return I.once(spark, ("lexical", d, depth), lambda: L.top(L.bm25(I.index(spark, d), I.questions(spark, d)), depth))
+    return I.once(spark, ("lexical", d, depth), lambda: L.top(M.bm25(I.counts(spark, d), I.questions(spark, d), depth), depth))
 
 
 def dense_arm(spark, d, depth=DEPTH):
@@ -94,7 +95,7 @@ def _dense_arm(spark, d, depth):
     """Without an embedding model the idf floor stands in for the dense arm, scaled into [0, 1] as cosines are."""
     from attesta.functions import text as T
 
-    arm = L.top(L.idf_overlap(I.index(spark, d, T.floor_tokens, 0), I.questions(spark, d, T.floor_tokens)), depth)
+    arm = L.top(M.idf_overlap(I.counts(spark, d, T.floor_tokens, 0), I.questions(spark, d, T.floor_tokens), depth), depth)
     return arm.withColumn("score", F.round(F.col("score") / (F.col("score") + 100), 6))
 
 
@@ -126,7 +127,7 @@ def rrf_fusion(spark, d):
 
 @query("with " + _arms() + ", " + f"ovl as (with {S.bags(0)}, {S.questions()}, sc as (select query_id, doc_id, cast(count(*) as double) as score from d join q using (term) group by all), {S.top(50, 'sc')} select query_id, doc_id, score, rank from ranked), u as (select query_id, doc_id, rank, 0 as arm from lex union all select query_id, doc_id, rank, 1 from den union all select query_id, doc_id, rank, 2 from ovl), f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score, max(case when arm = 0 then rank end) as rl from u group by all) " + _rank(5))
 def rrf_nway(spark, d):
-    third = L.top(L.overlap(I.index(spark, d, title_weight=0), I.questions(spark, d)), DEPTH)
+    third = L.top(M.overlap(I.counts(spark, d, title_weight=0), I.questions(spark, d), DEPTH), DEPTH)
     return U.rrf(lexical_arm(spark, d), dense_arm(spark, d), third).select("query_id", "doc_id", "score", "rank")
 
 
@@ -189,7 +190,7 @@ cov as (with {S.bags()}, {S.questions()}, p as (select query_id, count(*) as n_t
 def signals(spark, d):
     q = I.questions(spark, d)
     lex, den = lexical_arm(spark, d), dense_arm(spark, d)
-    return G.of_dense(q, den).join(G.agreement(q, den, lex), "query_id").join(I.once(spark, ("coverage", d), lambda: L.coverage(I.index(spark, d), q).select("query_id", "coverage", "unknown")), "query_id")
+    return G.of_dense(q, den).join(G.agreement(q, den, lex), "query_id").join(I.once(spark, ("coverage", d), lambda: M.coverage(I.counts(spark, d), q).select("query_id", "coverage", "unknown")), "query_id")
 
 
 @query(f"with {_arms()}, {_SIGNALS} select query_id, round(proximity, 6) as proximity, round(margin, 6) as margin, round(gap, 6) as gap, round(mass3, 6) as mass3, round(mass5, 6) as mass5, agree, round(agree / 5.0::double, 6) as agreement, coverage, -cast(len(unknown) as int) as minus_unknown from sig join agr using (query_id) join cov using (query_id)")
